@@ -5,8 +5,8 @@ forward and a backward gated recurrent layer read the window, attention weighs t
 text is cut into overlapping windows over its whole length, all are scored, and the highest window decides, calibrated to a probability.
 
 Fitting: documents come from a sample of at most `max_train` labelled rows (half of each label, as far as there are, in order of the hash of
-doc_id), of each at most `windows_per_doc` windows, evenly spaced. After some epochs the windows of a toxic document that look clean are left
-out (only the document is labelled, not the window). Training is seeded. The model (about 1 MB) is broadcast.
+doc_id), of each at most `windows_per_doc` windows, evenly spaced. After the first epoch only the windows of a toxic document near its
+highest stay (the document is labelled, not the window). Every fifth document of the sample is kept for the calibration. Training is seeded. The model (about 1 MB) is broadcast.
 
 Labels are read only for rows whose id has remainder other than 0. Conflicting labels of one doc_id count as toxic. A null toxic label is no
 label. Null texts, texts without words and, if there are no labels of both kinds, all texts get the base rate of the training labels
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batch_bytes, id_fold, pieces
 
 WINDOW, STRIDE = 24, 16
-WORDS, TRIGRAMS, WIDTH, HIDDEN = 8192, 4096, 12, 8
+WORDS, TRIGRAMS, WIDTH, HIDDEN = 16384, 4096, 12, 8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -103,6 +103,15 @@ def gate_inputs(p: dict, words: list[bytes]) -> dict[str, np.ndarray]:
     return {d: x @ p[f"x{d}"] + p[f"c{d}"] for d in "fb"}
 
 
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows with equal `at`."""
+    order = np.argsort(at, kind="stable")
+    start = np.concatenate([[0], np.flatnonzero(np.diff(at[order])) + 1])
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[at[order[start]]] = np.add.reduceat(rows[order], start, axis=0)
+    return out
+
+
 def gradients(p: dict, codes: tuple, index: np.ndarray, mask: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the weighted logistic loss over windows, by back-propagation through time, and the logits."""
     ids, tri, starts = codes
@@ -133,7 +142,7 @@ def gradients(p: dict, codes: tuple, index: np.ndarray, mask: np.ndarray, label:
     da = dl[:, None] * soft * (y - pooled[:, None])
     dx = np.zeros_like(x)
     for d, order in (("f", range(WINDOW - 1, -1, -1)), ("b", range(WINDOW))):
-        dgx = np.zeros((len(x), 3 * h), np.float32)
+        dg = np.empty((n, WINDOW, 3 * h), np.float32)
         back = np.zeros((n, h), np.float32)
         for t in order:
             before, zr, cand, gh, state = kept[d, t]
@@ -146,13 +155,15 @@ def gradients(p: dict, codes: tuple, index: np.ndarray, mask: np.ndarray, label:
             dr = dn * gh[:, 2 * h :] * r * (1 - r)
             dgh = np.concatenate([dz, dr, dn * r], axis=1)
             g[f"h{d}"] += before.T @ dgh
-            np.add.at(dgx, index[:, t], np.concatenate([dz, dr, dn], axis=1))
+            dg[:, t, : 2 * h] = dgh[:, : 2 * h]
+            dg[:, t, 2 * h :] = dn
             back = ds * z + dgh @ p[f"h{d}"].T
+        dgx = summed(index.ravel(), dg.reshape(-1, 3 * h), len(x))
         g[f"x{d}"] += x.T @ dgx
         g[f"c{d}"] += dgx.sum(axis=0)
         dx += dgx @ p[f"x{d}"].T
-    np.add.at(g["word"], ids, dx[:, :WIDTH])
-    np.add.at(g["tri"], tri, np.repeat(dx[:, WIDTH:] / counts, counts[:, 0], axis=0))
+    g["word"] = summed(ids, dx[:, :WIDTH], WORDS)
+    g["tri"] = summed(tri, np.repeat(dx[:, WIDTH:] / counts, counts[:, 0], axis=0), TRIGRAMS)
     return g, logit
 
 
@@ -166,49 +177,58 @@ def indexed(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.nda
     return list(number), index, mask
 
 
-def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, clean_from: int = 2, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
-    """documents: (windows, label). Returns parameters with the calibration (scale, shift) of a document's highest logit."""
+def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, batch: int = 256, rate: float = 0.006, decay: float = 0.02, seed: int = 5) -> dict:
+    """documents: (windows, label). Every fifth document is kept for the calibration (scale, shift) of a document's highest logit.
+
+    In the first epoch all windows carry their document's label; before each later one, a toxic document keeps only the windows near its highest."""
     p = new_parameters(seed)
-    windows = [w for ws, _ in documents for w in ws]
-    owner = np.repeat(np.arange(len(documents)), [len(ws) for ws, _ in documents])
-    label = np.array([y for _, y in documents], np.float32)[owner]
-    weight = np.ones(len(windows), np.float32)
-    weight[label == 1] *= max(1.0, (label == 0).sum() / max(1, (label == 1).sum()))
+    fitted, checked = [x for i, x in enumerate(documents) if i % 5 != 4], documents[4::5]
+    windows = [w for ws, _ in fitted for w in ws]
+    owner = np.repeat(np.arange(len(fitted)), [len(ws) for ws, _ in fitted])
+    label = np.array([y for _, y in fitted], np.float32)[owner]
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     r, logits = np.random.default_rng(seed), np.zeros(len(windows), np.float32)
     for epoch in range(epochs):
-        if epoch == clean_from or epoch == clean_from + 1:
-            top = np.full(len(documents), -np.inf)
-            np.maximum.at(top, owner, logits)
-            weight = np.where((label == 1) & (logits < np.minimum(0, top[owner])), 0, weight).astype(np.float32)
-        order = r.permutation(len(windows))
+        keep = (label == 0) | (logits >= highest(logits, owner, len(fitted))[owner] - 1)
+        order = np.flatnonzero(keep)[r.permutation(int(keep.sum()))]
+        weight = np.where(label == 1, max(1.0, 0.3 * (label[order] == 0).sum() / max(1, (label[order] == 1).sum())), 1.0).astype(np.float32)
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
             words, index, mask = indexed([windows[i] for i in rows])
-            g, logits[rows] = gradients(p, word_codes(words), index, mask, label[rows], weight[rows])
+            g, _ = gradients(p, word_codes(words), index, mask, label[rows], weight[rows])
             t += 1
             now = rate * (0.3 if epoch >= epochs - 2 else 1.0)
             for k, x in p.items():
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.001 * (g[k] * g[k] - v[k])
-                x -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                x -= now * ((m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * x)
+        logits = logits_of(p, windows)
+    owner = np.repeat(np.arange(len(checked)), [len(ws) for ws, _ in checked])
+    top = highest(logits_of(p, [w for ws, _ in checked for w in ws]), owner, len(checked))
+    return p | {"calibration": calibrate(top, np.array([y for _, y in checked]))}
+
+
+def highest(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, owner, logits)
+    return top
+
+
+def logits_of(p: dict, windows: list[list[bytes]]) -> np.ndarray:
+    out = np.zeros(len(windows), np.float32)
     for s in range(0, len(windows), 4096):
         words, index, mask = indexed(windows[s : s + 4096])
-        logits[s : s + 4096] = forward(p, gate_inputs(p, words), index, mask)
-    top = np.full(len(documents), -np.inf)
-    np.maximum.at(top, owner, logits)
-    return p | {"calibration": calibrate(top, np.array([y for _, y in documents]))}
+        out[s : s + 4096] = forward(p, gate_inputs(p, words), index, mask)
+    return out
 
 
 def calibrate(top: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Scale and shift of a logistic fit of the labels to the logits, the classes weighted alike, with a small ridge."""
+    """Scale and shift with the least logistic loss on a grid, the classes weighted alike (a grid stays finite where the classes are separable)."""
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
-    x, w = np.stack([np.clip(top, -30, 30), np.ones(len(top))], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
-        q = _sigmoid(x @ w)
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(2)
-        w = w - np.linalg.solve(hess, x.T @ (weight * (q - label)) + 1e-4 * (w - [1.0, 0.0]))
-    return w
+    x, sign = np.clip(top, -30, 30), 1 - 2 * label
+    grid = [(a, -a * b) for a in (0.25, 0.5, 1.0, 2.0) for b in np.arange(-12, 12.05, 0.1)]
+    losses = [(weight * np.logaddexp(0, sign * (a * x + b))).sum() for a, b in grid]
+    return np.array(grid[int(np.argmin(losses))])
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_train: int, windows_per_doc: int, folds: int) -> list[tuple[list[list[bytes]], int]]:
@@ -282,7 +302,7 @@ class Scorer:
         return best
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = 3000, windows_per_doc: int = 16) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = 3000, windows_per_doc: int = 24) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
