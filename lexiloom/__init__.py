@@ -1,0 +1 @@
+"""Bilingual training-data engine on Spark DataFrames."""
