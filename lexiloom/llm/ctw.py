@@ -9,8 +9,10 @@ gives the exact weighted tree of the training text.
 Fitting: tasks count (DEPTH+1)-byte strings and send them, packed, to the part that owns their two nearest context bytes. There the subtree is
 weighted from the leaves up; depths 0 and 1 (at most 256 * 255 nodes) are closed on the driver; a second pass pushes the mixture down, so that
 each node holds the final probability of its bit if it is the deepest known one, and each known string its final log probability.
-Scoring: the parts are grouped into loads of at most `load_bytes`; each load is broadcast and gets a pass of its own over the rows (chained,
-without a shuffle) that scores the positions it owns. A model of any size is used whole; a small one takes one pass.
+Scoring: the parts of the tree and of the token counts are grouped into loads of at most `load_bytes`; each load is broadcast and gets a pass of
+its own over the rows that scores what it owns, and the passes' sums (four numbers a row) are added by row. A model of any size is used
+whole, with one load in a task's memory; a small one takes one pass. docs is read once a pass and must give its rows in the same
+partitions each time, as a table does.
 
 Nulls: a null text is an empty one (just the end). Rows whose id has remainder 0 (null ids among them) are not learned from. Without
 training rows every bit has probability 1/2 and base_score is that of an empty table. Repeated rows each count and are each scored.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -201,11 +204,21 @@ class Lookup:
             at, want = (at[go] + 1) & (len(self.slots) - 1), want[go]
 
 
+def _joined(blobs: list[bytes], kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, kind) for b in blobs]) if blobs else np.zeros(0, kind)
+
+
 class Model:
     """One load: known strings, all nodes for the others, and token counts."""
 
-    def __init__(self, grams, logs, nodes, logits, hashes, counts):
-        self.known, self.nodes, self.logits, self.hashes, self.counts = Lookup(grams, logs), nodes, logits, hashes, counts
+    def __init__(self, parts: list[tuple]):
+        grams, logs, nodes, logits = (_joined([p[i] for p in parts if p[0] == 0], t) for i, t in ((1, np.int64), (2, np.float32), (3, np.int64), (4, np.float32)))
+        self.known = Lookup(grams, logs)
+        order = np.argsort(nodes)
+        self.nodes, self.logits = nodes[order], logits[order]
+        hashes, counts = (_joined([p[i] for p in parts if p[0] == 1], np.int64) for i in (1, 2))
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
 
     def log10(self, keys: np.ndarray, mine: np.ndarray | None = None) -> np.ndarray:
         """Of the strings that `mine` marks (all, if None); 0 for the rest."""
@@ -396,58 +409,47 @@ def _loads(model: DataFrame, load_bytes: int) -> list[dict[int, list[int]]]:
     return loads
 
 
-def _arrays(model: DataFrame, load: dict[int, list[int]]) -> list[np.ndarray]:
-    """Strings, logs, nodes (sorted), logits, token hashes (sorted), counts."""
-    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+def _parts(model: DataFrame, load: dict[int, list[int]]) -> list[tuple]:
+    """The rows of a load as they are stored; tasks join and sort them, so the driver holds one copy."""
     want = ((F.col("kind") == 0) & F.col("part").isin([-1, *load[0]])) | ((F.col("kind") == 1) & F.col("part").isin(load[1]))
-    for r in model.where(want).toLocalIterator():
-        if r.kind:
-            out[4].append(np.frombuffer(r.a, np.int64))
-            out[5].append(np.frombuffer(r.b, np.int64).astype(np.float64))
-        else:
-            for o, x, t in zip(out, (r.a, r.b, r.c, r.d), (np.int64, np.float32, np.int64, np.float32)):
-                o.append(np.frombuffer(x, t))
-    types = (np.int64, np.float32, np.int64, np.float32, np.int64, np.float64)
-    held = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types)]
-    for i in (2, 4):
-        order = np.argsort(held[i])
-        held[i], held[i + 1] = held[i][order], held[i + 1][order]
-    return held
-
-
-def score_documents(docs: DataFrame, folds: int = 10, load_bytes: int = 120_000_000) -> DataFrame:
+    return [(r.kind, *(bytes(x) for x in (r.a, r.b, r.c, r.d))) for r in model.where(want).toLocalIterator()]
+
+
+def score_documents(docs: DataFrame, folds: int = 10, load_bytes: int = 48_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with remainder 0 are held out of fitting."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     train = docs.where(id_fold("doc_id", folds) != 0)
     model, spread, tokens, distinct = fit(train)
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-    rows = docs.select("doc_id", "text")
+    sums = ["n_tokens", "n_known", "base_score", "score"]
     loads = _loads(model, load_bytes)
-    for load in loads:
-        shared = spark.sparkContext.broadcast(_arrays(model, load))
-        fresh, last = load is loads[0], load is loads[-1]
-        carried = ["doc_id", *([] if last else ["text"]), *names[1:]]
-        types = {"doc_id": kind, "text": "string", "n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
-
-        def run(batches, shared=shared, load=load, whole=len(loads) == 1, fresh=fresh, carried=carried):
-            machine = Model(*shared.value)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    base = np.log10(tokens + 0.1 * (distinct + 1))
+    passes = []
+    for k, load in enumerate(loads):
+        shared = spark.sparkContext.broadcast(_parts(model, load))
+
+        def run(batches, shared=shared, load=load, whole=len(loads) == 1, first=k == 0):
+            machine = Model(shared.value)
             for batch in pieces(batches):
                 texts = [normal(t) for t in batch_bytes(batch.column("text"))]
                 n = len(texts)
-                new = {"n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n)} if fresh else {c: batch.column(c).to_numpy().copy() for c in names[2:]}
+                counted, known, plain, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
                 for s, e in parts_of(texts):
-                    keys, starts = strings(texts[s:e])
-                    mine = None if whole else np.isin(owner(keys, spread), load[0])
-                    new["score"][s:e] += np.add.reduceat(machine.log10(keys, mine), starts)
-                    logs, known, starts = machine.tokens(texts[s:e], None if whole else (load[1], spread))
-                    new["base_score"][s:e] += np.add.reduceat(logs, starts)
-                    new["n_known"][s:e] += np.add.reduceat(known, starts)
-                new["n_tokens"] = np.array([len(t.split()) + 1 for t in texts], np.int64)
-                if fresh:
-                    new["base_score"] -= new["n_tokens"] * np.log10(tokens + 0.1 * (distinct + 1))
-                cols = {c: pa.array(x) for c, x in new.items()} | {c: batch.column(c) for c in ("doc_id", "text")}
-                yield pa.RecordBatch.from_arrays([cols[c] for c in carried], carried)
-
-        rows = rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in carried))
-    return rows.select("doc_id", (id_fold("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+                    if whole or load[0]:
+                        keys, starts = strings(texts[s:e])
+                        mine = None if whole else np.isin(owner(keys, spread), load[0])
+                        score[s:e] = np.add.reduceat(machine.log10(keys, mine), starts)
+                    if whole or load[1]:
+                        logs, has, starts = machine.tokens(texts[s:e], None if whole else (load[1], spread))
+                        plain[s:e], known[s:e] = np.add.reduceat(logs, starts), np.add.reduceat(has, starts)
+                if first:
+                    counted = np.array([len(t.split()) + 1 for t in texts], np.int64)
+                    plain = plain - counted * base
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counted), pa.array(known), pa.array(plain), pa.array(score)], ["row", "doc_id", *sums])
+
+        passes.append(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double"))
+    out = reduce(DataFrame.unionByName, passes)
+    if len(passes) > 1:
+        out = out.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in sums])
+    return out.select("doc_id", (id_fold("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
