@@ -5,7 +5,7 @@ forward and a backward gated recurrent layer read the window, attention weighs t
 text is cut into overlapping windows over its whole length, all are scored, and the highest window decides, calibrated to a probability.
 
 Fitting: documents come from a sample of at most `max_train` labelled rows (half of each label, as far as there are, in order of the hash of
-doc_id), of each at most `windows_per_doc` windows, evenly spaced. After the first epoch only the windows of a toxic document near its
+doc_id), of each at most `windows_per_doc` windows, evenly spaced. After the first quarter of the epochs only the windows of a toxic document near its
 highest stay (the document is labelled, not the window). Every fifth document of the sample is kept for the calibration. Training is seeded. The model (about 1 MB) is broadcast.
 
 Labels are read only for rows whose id has remainder other than 0. Conflicting labels of one doc_id count as toxic. A null toxic label is no
@@ -177,10 +177,10 @@ def indexed(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.nda
     return list(number), index, mask
 
 
-def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, batch: int = 256, rate: float = 0.006, decay: float = 0.02, seed: int = 5) -> dict:
+def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, batch: int = 256, min_steps: int = 500, rate: float = 0.006, decay: float = 0.02, seed: int = 5) -> dict:
     """documents: (windows, label). Every fifth document is kept for the calibration (scale, shift) of a document's highest logit.
 
-    In the first epoch all windows carry their document's label; before each later one, a toxic document keeps only the windows near its highest."""
+    In the first quarter of the epochs all windows carry their document's label; before each later one, a toxic document keeps only the windows near its highest."""
     p = new_parameters(seed)
     fitted, checked = [x for i, x in enumerate(documents) if i % 5 != 4], documents[4::5]
     windows = [w for ws, _ in fitted for w in ws]
@@ -188,8 +188,10 @@ def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, batch
     label = np.array([y for _, y in fitted], np.float32)[owner]
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     r, logits = np.random.default_rng(seed), np.zeros(len(windows), np.float32)
+    batch = min(batch, max(32, len(windows) // 40))  # a small sample gets smaller batches and more epochs, so that it is fitted as long
+    epochs = max(epochs, -(-min_steps * batch // max(1, len(windows))))
     for epoch in range(epochs):
-        keep = (label == 0) | (logits >= highest(logits, owner, len(fitted))[owner] - 1)
+        keep = (label == 0) | (epoch < epochs // 4) | (logits >= highest(logits, owner, len(fitted))[owner] - 1)
         order = np.flatnonzero(keep)[r.permutation(int(keep.sum()))]
         weight = np.where(label == 1, max(1.0, 0.3 * (label[order] == 0).sum() / max(1, (label[order] == 1).sum())), 1.0).astype(np.float32)
         for s in range(0, len(order), batch):
