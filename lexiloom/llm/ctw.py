@@ -9,10 +9,10 @@ gives the exact weighted tree of the training text.
 Fitting: tasks count (DEPTH+1)-byte strings and send them, packed, to the part that owns their two nearest context bytes. There the subtree is
 weighted from the leaves up; depths 0 and 1 (at most 256 * 255 nodes) are closed on the driver; a second pass pushes the mixture down, so that
 each node holds the final probability of its bit if it is the deepest known one, and each known string its final log probability.
-Scoring: the parts of the tree and of the token counts are grouped into loads of at most `load_bytes`; each load is broadcast and gets a pass of
-its own over the rows that scores what it owns, and the passes' sums (four numbers a row) are added by row. A model of any size is used
-whole, with one load in a task's memory; a small one takes one pass. docs is read once a pass and must give its rows in the same
-partitions each time, as a table does.
+Scoring: rows are taken in chunks of about `chunk_bytes` of text. A chunk sends each part of the model the distinct strings and tokens that the
+part owns; the part answers with their log probabilities and counts; answers and rows meet again by chunk. So the model never leaves
+its parts: the driver holds depths 0 and 1 only, a task one part or one chunk's answers, and what is shuffled grows with the input alone.
+docs is read twice and must give its rows in the same partitions and order each time, as a table does; where it does not, the run fails.
 
 Nulls: a null text is an empty one (just the end). Rows whose id has remainder 0 (null ids among them) are not learned from. Without
 training rows every bit has probability 1/2 and base_score is that of an empty table. Repeated rows each count and are each scored.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -204,33 +203,20 @@ class Lookup:
             at, want = (at[go] + 1) & (len(self.slots) - 1), want[go]
 
 
-def _joined(blobs: list[bytes], kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, kind) for b in blobs]) if blobs else np.zeros(0, kind)
-
-
 class Model:
-    """One load: known strings, all nodes for the others, and token counts."""
+    """A part of the tree: known strings with their log10 probabilities, and nodes (with those of depths 0 and 1) for the others."""
 
-    def __init__(self, parts: list[tuple]):
-        grams, logs, nodes, logits = (_joined([p[i] for p in parts if p[0] == 0], t) for i, t in ((1, np.int64), (2, np.float32), (3, np.int64), (4, np.float32)))
+    def __init__(self, grams: np.ndarray, logs: np.ndarray, nodes: np.ndarray, logits: np.ndarray):
         self.known = Lookup(grams, logs)
         order = np.argsort(nodes)
         self.nodes, self.logits = nodes[order], logits[order]
-        hashes, counts = (_joined([p[i] for p in parts if p[0] == 1], np.int64) for i in (1, 2))
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-
-    def log10(self, keys: np.ndarray, mine: np.ndarray | None = None) -> np.ndarray:
-        """Of the strings that `mine` marks (all, if None); 0 for the rest."""
-        if mine is not None:
-            out = np.zeros(len(keys))
-            out[mine] = self.log10(keys[mine])
-            return out
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """keys: distinct strings."""
         out = self.known.get(keys, np.nan)
         new = np.flatnonzero(np.isnan(out))
         if len(new):
-            uniq, back = np.unique(keys[new], return_inverse=True)
-            out[new] = self._unknown(uniq)[back]
+            out[new] = self._unknown(keys[new])
         return out
 
     def _node(self, keys: np.ndarray) -> np.ndarray:
@@ -255,28 +241,19 @@ class Model:
             total -= np.logaddexp(0, np.where((symbol >> (7 - j)) & 1, -logit, logit)) / np.log(10)
         return total
 
-    def tokens(self, texts: list[bytes], mine: tuple[list[int], int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10(c + 0.1) and whether c > 0 of each token (0 for tokens of other loads), and each text's first token."""
-        number: dict[bytes, int] = {}
-        give = number.setdefault
-        tokens: list[int] = []
-        lengths = []
-        for t in texts:
-            words = t.split()
-            tokens += [give(w, len(number)) for w in words]
-            tokens.append(give(END, len(number)))
-            lengths.append(len(words) + 1)
-        hashes = word_hashes(list(number))
-        count = np.zeros(len(hashes))
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            count = np.where(self.hashes[at] == hashes, self.counts[at], 0.0)
-        logs, known = np.log10(count + 0.1), (count > 0).astype(np.int64)
-        if mine is not None:
-            other = ~np.isin(word_owner(hashes, mine[1]), mine[0])
-            logs[other], known[other] = 0, 0
-        ids = np.array(tokens)
-        return logs[ids], known[ids], np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+
+def number_tokens(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """The distinct tokens numbered, the number of each token in turn, and how many each text has."""
+    number: dict[bytes, int] = {}
+    give = number.setdefault
+    tokens: list[int] = []
+    lengths = []
+    for t in texts:
+        words = t.split()
+        tokens += [give(w, len(number)) for w in words]
+        tokens.append(give(END, len(number)))
+        lengths.append(len(words) + 1)
+    return number, np.array(tokens, np.int64), np.array(lengths, np.int64)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -291,13 +268,13 @@ def word_owner(hashes: np.ndarray, spread: int) -> np.ndarray:
 _COUNTS = "kind int, part long, keys binary, counts binary"
 
 
-def _rows(kind: int, part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(kind: int, part: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part met: (kind, part) and its values of the columns, packed."""
     order = np.argsort(part, kind="stable")
     cut = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(part)]])
-    for s, e in zip(cut[:-1], cut[1:]):
-        if e > s:
-            own = order[s:e]
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([int(part[own[0]])], pa.int64()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([counts[own].tobytes()], pa.binary())], ["kind", "part", "keys", "counts"])
+    own = [order[s:e] for s, e in zip(cut[:-1], cut[1:]) if e > s]
+    packed = [pa.array([c[at].tobytes() for at in own], pa.binary()) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array([int(part[at[0]]) for at in own], pa.int64()), *packed], ["kind", "part", *columns])
 
 
 def _count(train: DataFrame, spread: int) -> DataFrame:
@@ -319,17 +296,17 @@ def _count(train: DataFrame, spread: int) -> DataFrame:
                 if sum(len(k) for k, _ in held) > 3_000_000:
                     held = [tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
                     if len(held[0][0]) > 2_000_000:
-                        yield from _rows(0, owner(held[0][0], spread), *held[0])
+                        yield _rows(0, owner(held[0][0], spread), keys=held[0][0], counts=held[0][1])
                         held = []
         if held:
             keys, counts = tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            yield from _rows(0, owner(keys, spread), keys, counts)
+            yield _rows(0, owner(keys, spread), keys=keys, counts=counts)
         yield from _words(words)
 
     def _words(words: Counter) -> Iterator[pa.RecordBatch]:
         if words:
             hashes = word_hashes(list(words))
-            yield from _rows(1, word_owner(hashes, spread), hashes, np.fromiter(words.values(), np.int64, len(words)))
+            yield _rows(1, word_owner(hashes, spread), keys=hashes, counts=np.fromiter(words.values(), np.int64, len(words)))
 
     return train.select("text").mapInArrow(run, _COUNTS)
 
@@ -357,17 +334,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(now, held)
 
 
-_MODEL = "kind int, part long, a binary, b binary, c binary, d binary, bytes long"
+_MODEL = "kind int, part long, a binary, b binary, c binary, d binary"
 
 
-def fit(train: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """The model table, the number of parts, and the number of tokens and of distinct tokens.
+def fit(train: DataFrame) -> tuple[DataFrame, dict, int, int, int]:
+    """The model table, depths 0 and 1 (see top_model), the number of parts, and the number of tokens and of distinct tokens.
 
-    Rows of the table: a part of the tree (kind 0: strings, logs, nodes, logits), of the tokens (kind 1: hashes, counts), and one row
-    (kind 0, part -1) with depths 0 and 1."""
+    Rows of the table: a part of the tree (kind 0: strings, logs, nodes, logits) or of the tokens (kind 1: hashes, counts)."""
     spark = train.sparkSession
-    spread = max(8, partitions(spark))
-    counted = _count(train, spread).repartition(spread, "part").sortWithinPartitions("part", "kind")
+    spread = max(64, partitions(spark))
+    counted = _count(train, spread).repartition(partitions(spark), "part").sortWithinPartitions("part", "kind")
     parts = materialize(counted.mapInArrow(_merged, _COUNTS + ", n_keys long, total long"), "ctw-counts")
     tree = parts.where("kind = 0").select("part", "keys", "counts")
 
@@ -387,69 +363,152 @@ def fit(train: DataFrame) -> tuple[DataFrame, int, int, int]:
         for batch in pieces(batches, 1):
             g, c = (np.frombuffer(batch.column(n)[0].as_py(), np.int64) for n in ("keys", "counts"))
             blobs = [x.tobytes() for x in part_model(g, c, shared.value)]
-            cols = [pa.array([0], pa.int32()), batch.column("part"), *(pa.array([b], pa.binary()) for b in blobs), pa.array([sum(map(len, blobs))], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "a", "b", "c", "d", "bytes"])
+            cols = [pa.array([0], pa.int32()), batch.column("part"), *(pa.array([b], pa.binary()) for b in blobs)]
+            yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "a", "b", "c", "d"])
 
-    head = spark.createDataFrame([(0, -1, b"", b"", bytearray(top["nodes"].tobytes()), bytearray(top["logits"].tobytes()), 0)], _MODEL)
-    words = parts.where("kind = 1").select("kind", "part", F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(b"").alias("c"), F.lit(b"").alias("d"), (F.col("n_keys") * 16).alias("bytes"))
-    model = materialize(tree.mapInArrow(downward, _MODEL).unionByName(head).unionByName(words), "ctw-model")
+    none = F.lit(b"")
+    words = parts.where("kind = 1").select("kind", "part", F.col("keys").alias("a"), F.col("counts").alias("b"), none.alias("c"), none.alias("d"))
+    model = materialize(tree.mapInArrow(downward, _MODEL).unionByName(words), "ctw-model")
     totals = parts.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
-    return model, spread, totals[0], totals[1]
+    return model, top, spread, totals[0], totals[1]
 
 
-def _loads(model: DataFrame, load_bytes: int) -> list[dict[int, list[int]]]:
-    """Parts of each kind, in loads of at most load_bytes (a part above it is a load of its own)."""
-    loads, size = [{0: [], 1: []}], 0
-    for kind, part, n in sorted(tuple(r) for r in model.select("kind", "part", "bytes").where("part >= 0").collect()):
-        if size and size + n > load_bytes:
-            loads.append({0: [], 1: []})
-            size = 0
-        loads[-1][kind].append(part)
-        size += n
-    return loads
+def _chunked(docs: DataFrame, kind: str, chunk_bytes: int) -> DataFrame:
+    """(chunk, doc_id, text): each partition's rows in order, cut into chunks of about so many bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = size = 0
+        for batch in pieces(batches):
+            out = []
+            for task, n in zip(batch.column("task").to_pylist(), batch.column("n").to_pylist()):
+                if size and size + n > chunk_bytes:
+                    number, size = number + 1, 0
+                size += n
+                out.append(task << 32 | number)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column("doc_id"), batch.column("text")], ["chunk", "doc_id", "text"])
+
+    rows = docs.select(F.spark_partition_id().alias("task"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "doc_id", "text")
+    return rows.mapInArrow(run, f"chunk long, doc_id {kind}, text string")
 
 
-def _parts(model: DataFrame, load: dict[int, list[int]]) -> list[tuple]:
-    """The rows of a load as they are stored; tasks join and sort them, so the driver holds one copy."""
-    want = ((F.col("kind") == 0) & F.col("part").isin([-1, *load[0]])) | ((F.col("kind") == 1) & F.col("part").isin(load[1]))
-    return [(r.kind, *(bytes(x) for x in (r.a, r.b, r.c, r.d))) for r in model.where(want).toLocalIterator()]
+def _asked(chunked: DataFrame, spread: int) -> DataFrame:
+    """(kind, part, chunk, keys): the distinct strings (kind 0) and token hashes (kind 1) of a chunk, packed, by the part that owns them."""
 
+    def ask(chunk: int, held: list[np.ndarray], words: set[bytes]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes(list(words))
+        keys = np.unique(np.concatenate(held))
+        for rows in (_rows(0, owner(keys, spread), keys=keys), _rows(1, word_owner(hashes, spread), keys=hashes)):
+            yield rows.append_column("chunk", pa.array([chunk] * rows.num_rows, pa.int64())).select(["kind", "part", "chunk", "keys"])
 
-def score_documents(docs: DataFrame, folds: int = 10, load_bytes: int = 48_000_000) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, words = None, [], set()
+        for batch in pieces(batches):
+            chunks = batch.column("chunk").to_numpy()
+            texts = [normal(t) for t in batch_bytes(batch.column("text"))]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
+            for a, b in zip(cut[:-1], cut[1:]):
+                if b > a and int(chunks[a]) != now:
+                    if held:
+                        yield from ask(now, held, words)
+                    now, held, words = int(chunks[a]), [], {END}
+                for s, e in parts_of(texts[a:b]):
+                    held.append(np.unique(strings(texts[a + s : a + e])[0]))
+                    for t in texts[a + s : a + e]:
+                        words.update(t.split())
+                if len(held) > 4:
+                    held = [np.unique(np.concatenate(held))]
+        if held:
+            yield from ask(now, held, words)
+
+    return chunked.select("chunk", "text").mapInArrow(run, "kind int, part long, chunk long, keys binary")
+
+
+def _answered(model: DataFrame, asked: DataFrame, top: dict) -> DataFrame:
+    """(chunk, kind, keys, values): log10 probabilities (float32) of strings, counts (int64) of tokens."""
+    spark = model.sparkSession
+    blank = F.lit(None).cast("binary")
+    questions = asked.select("kind", "part", "chunk", F.col("keys").alias("a"), *[blank.alias(c) for c in "bcd"])
+    both = model.select("kind", "part", F.lit(-1).cast("long").alias("chunk"), "a", "b", "c", "d").unionByName(questions)
+    shared = spark.sparkContext.broadcast({n: top[n] for n in ("nodes", "logits")})  # at most 257 * 255 nodes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, now, machine = shared.value, None, None
+        for batch in pieces(batches, 64):
+            kinds, parts, chunks = (batch.column(c).to_pylist() for c in ("kind", "part", "chunk"))
+            out = []
+            for i, (kind, part, chunk) in enumerate(zip(kinds, parts, chunks)):
+                fields = lambda *types: [np.frombuffer(batch.column(c)[i].as_buffer() or b"", t) for c, t in zip("abcd", types)]  # noqa: B023,E731
+                if (kind, part) != now:
+                    now = kind, part
+                    grams, logs, nodes, logits = fields(np.int64, np.float32, np.int64, np.float32) if chunk < 0 and kind == 0 else [np.zeros(0, t) for t in (np.int64, np.float32) * 2]
+                    if kind == 0:
+                        machine = Model(grams, logs, np.concatenate([head["nodes"], nodes]), np.concatenate([head["logits"], logits]))
+                    else:
+                        machine = Lookup(*(fields(np.int64, np.int64) if chunk < 0 else [np.zeros(0, np.int64)] * 2))
+                if chunk >= 0:
+                    (keys,) = fields(np.int64)
+                    values = machine.log10(keys).astype(np.float32) if kind == 0 else machine.get(keys, 0).astype(np.int64)
+                    out.append((chunk, kind, keys.tobytes(), values.tobytes()))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["chunk", "kind", "keys", "values"])
+
+    dealt = both.repartition(partitions(spark), "kind", "part").sortWithinPartitions("kind", "part", "chunk")
+    return dealt.mapInArrow(run, "chunk long, kind int, keys binary, values binary")
+
+
+def score_documents(docs: DataFrame, folds: int = 10, chunk_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with remainder 0 are held out of fitting."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    train = docs.where(id_fold("doc_id", folds) != 0)
-    model, spread, tokens, distinct = fit(train)
-    sums = ["n_tokens", "n_known", "base_score", "score"]
-    loads = _loads(model, load_bytes)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text")
+    model, top, spread, tokens, distinct = fit(docs.where(id_fold("doc_id", folds) != 0))
+    chunked = _chunked(docs, id_type, chunk_bytes)
+    answers = _answered(model, _asked(chunked, spread), top)
+    rows = chunked.select("chunk", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "doc_id", "text")
+    both = answers.select("*", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("text")).unionByName(rows)
     base = np.log10(tokens + 0.1 * (distinct + 1))
-    passes = []
-    for k, load in enumerate(loads):
-        shared = spark.sparkContext.broadcast(_parts(model, load))
-
-        def run(batches, shared=shared, load=load, whole=len(loads) == 1, first=k == 0):
-            machine = Model(shared.value)
-            for batch in pieces(batches):
-                texts = [normal(t) for t in batch_bytes(batch.column("text"))]
+
+    def found(table: Lookup, keys: np.ndarray) -> np.ndarray:
+        values = table.get(keys, np.nan)
+        if np.isnan(values).any():
+            raise ValueError("docs gave other rows when it was read again; score a stored table")
+        return values
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers, tables = None, [[], []], None
+        for batch in pieces(batches, 64):
+            kinds, chunks = (batch.column(c).to_pylist() for c in ("kind", "chunk"))
+            start = 0
+            while start < len(kinds):
+                if chunks[start] != now:
+                    now, answers, tables = chunks[start], [[], []], None
+                kind = kinds[start]
+                if kind < 2:
+                    answers[kind].append(tuple(batch.column(c)[start].as_py() for c in ("keys", "values")))
+                    start += 1
+                    continue
+                if tables is None:
+                    tables = [Lookup(np.frombuffer(b"".join(k for k, _ in a), np.int64), np.frombuffer(b"".join(v for _, v in a), t)) for a, t in zip(answers, (np.float32, np.int64))]
+                    answers = [[], []]
+                end = start
+                while end < len(kinds) and chunks[end] == now:
+                    end += 1
+                own = batch.slice(start, end - start)
+                texts = [normal(t) for t in batch_bytes(own.column("text"))]
                 n = len(texts)
                 counted, known, plain, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
                 for s, e in parts_of(texts):
-                    if whole or load[0]:
-                        keys, starts = strings(texts[s:e])
-                        mine = None if whole else np.isin(owner(keys, spread), load[0])
-                        score[s:e] = np.add.reduceat(machine.log10(keys, mine), starts)
-                    if whole or load[1]:
-                        logs, has, starts = machine.tokens(texts[s:e], None if whole else (load[1], spread))
-                        plain[s:e], known[s:e] = np.add.reduceat(logs, starts), np.add.reduceat(has, starts)
-                if first:
-                    counted = np.array([len(t.split()) + 1 for t in texts], np.int64)
-                    plain = plain - counted * base
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(counted), pa.array(known), pa.array(plain), pa.array(score)], ["row", "doc_id", *sums])
-
-        passes.append(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double"))
-    out = reduce(DataFrame.unionByName, passes)
-    if len(passes) > 1:
-        out = out.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in sums])
+                    keys, starts = strings(texts[s:e])
+                    score[s:e] = np.add.reduceat(found(tables[0], keys), starts)
+                    number, ids, lengths = number_tokens(texts[s:e])
+                    counts = found(tables[1], word_hashes(list(number)))
+                    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                    counted[s:e] = lengths
+                    known[s:e] = np.add.reduceat((counts > 0).astype(np.int64)[ids], starts)
+                    plain[s:e] = np.add.reduceat(np.log10(counts + 0.1)[ids], starts) - lengths * base
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(counted), pa.array(known), pa.array(plain), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                start = end
+
+    dealt = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind")
+    out = dealt.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (id_fold("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

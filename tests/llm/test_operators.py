@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -193,7 +194,7 @@ def test_context_tree_equals_direct_recursion():
     one, up = np.unique(levels[-1]["key"] & 0xFFFF, return_inverse=True)
     top = ctw.top_model({"key": one} | {n: np.bincount(up, levels[-1][c], len(one)) for n, c in (("zeros", "zeros"), ("ones", "ones"), ("below", "logw"))})
     g, logs, nodes, logits = ctw.part_model(keys, counts, top)
-    model = ctw.Model([(0, g.tobytes(), logs.tobytes(), nodes.tobytes(), logits.tobytes()), (0, b"", b"", top["nodes"].tobytes(), top["logits"].tobytes())])
+    model = ctw.Model(g, logs, np.concatenate([top["nodes"], nodes]), np.concatenate([top["logits"], logits]))
     assert np.allclose(model.log10(keys), model._unknown(keys), atol=1e-5)
     for key in (keys[3], (int(keys[0]) & ~0xFF) | ord("z"), int.from_bytes(b"qqqqqq", "big")):  # the 256 bytes after a context sum to 1
         every = (int(key) & ~0xFF) | np.arange(256)
@@ -204,6 +205,23 @@ def test_context_tree_scores(spark, docs, empty):
     a = ctw.score_documents(docs.select("doc_id", "text")).collect()
     assert len(a) == docs.count() and all(r.score < 0 for r in a) and {r.n_tokens for r in a if r.doc_id == 1} == {1}
     assert ctw.score_documents(empty).count() == 0
+    small = ctw.score_documents(docs, chunk_bytes=100).collect()  # many chunks change nothing
+    order = lambda rows: sorted(rows, key=repr)
+    assert [r[:5] for r in order(a)] == [r[:5] for r in order(small)] and np.allclose([r[5:] for r in order(a)], [r[5:] for r in order(small)])
+
+
+def test_base_score_by_hand(spark, docs):
+    import zlib
+    from collections import Counter
+    from math import log10
+
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None]
+    rows = docs.select("doc_id", "text").collect()
+    counts = Counter(w for r in rows if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 for w in words(r.text))
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((len(words(r.text)), sum(counts[w] > 0 for w in words(r.text)), n, round(sum(log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(r.text)), 6)) for r in rows)
+    got = sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in ctw.score_documents(docs).collect())
+    assert got == want
 
 
 def test_toxicity(spark):
