@@ -147,11 +147,11 @@ def lang_set_equality(spark, sf):
     return _sides(spark, sf).where("l_present and r_present").select("line", (F.col("l_languages") == F.col("r_languages")).alias("same_languages"))
 
 
-@query(w("SELECT line, seg AS src, human AS tgt FROM triples WHERE length(seg) <= 150"))
+@query(w("SELECT line, seg AS src, human AS tgt FROM triples WHERE length(seg) <= 1000"))
 def reference_attach(spark, sf):
     t = triples(spark, sf)
     rows = t.select("line", F.col("seg").alias("src"), F.col("base").alias("tgt"))
-    return A.attach_references(rows, t.select("line", F.col("human").alias("text"))).where("length(src) <= 150")
+    return A.attach_references(rows, t.select("line", F.col("human").alias("text"))).where("length(src) <= 1000")
 
 
 @query("SELECT lang, source, count(*) AS copies FROM documents GROUP BY lang, source HAVING count(*) > 1")
@@ -180,11 +180,10 @@ def batch_slices(spark, sf):
     return triples(spark, sf).groupBy(F.floor((F.col("line") - 1) / 32).alias("batch")).agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
-@query(f"SELECT doc_id, unnest({TOKENS.format('left(text, 300)')}) AS token FROM documents")
+@query(f"SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents")
 def tokenize(spark, sf):
-    """The text column here is a 300-character snippet, as sentence data is; token_counts covers whole texts."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return d.select("doc_id", F.explode(X.tokens(F.left("text", F.lit(300)))).alias("token"))
+    return d.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
 
 
 @query(f"SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens FROM documents")
@@ -197,7 +196,7 @@ def char_distance(spark, sf):
     return pair_distances(triples(spark, sf)).select("line", "pair", F.col("char_distance").cast("long").alias("distance"), F.col("char_length").cast("long").alias("longer"))
 
 
-@query(DISTANCE_SQL + " SELECT line, pair, word_distance::BIGINT AS distance, word_length::BIGINT AS longer FROM distances")
+@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
 def word_distance(spark, sf):
     return pair_distances(triples(spark, sf)).select("line", "pair", F.col("word_distance").cast("long").alias("distance"), F.col("word_length").cast("long").alias("longer"))
 
@@ -205,7 +204,7 @@ def word_distance(spark, sf):
 _FLAT = [f"{a}_vs_{b}" for a, b in (("base", "human"), ("base", "corrected"), ("human", "corrected"))]
 
 
-@query(DISTANCE_SQL + " SELECT line, " + ", ".join(f"max(char_distance) FILTER (WHERE pair = '{p}')::BIGINT AS {p}_char, max(word_distance) FILTER (WHERE pair = '{p}')::BIGINT AS {p}_word" for p in _FLAT) + " FROM distances GROUP BY line")
+@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
 def pair_distances_flat(spark, sf):
     d = pair_distances(triples(spark, sf))
     return d.groupBy("line").agg(*[F.max(F.when(F.col("pair") == p, F.col(f"{u}_distance"))).cast("long").alias(f"{p}_{u}") for p in _FLAT for u in ("char", "word")])
@@ -219,14 +218,14 @@ def _described(x):
     return [F.round(d[n], 9).alias(n) for n in ("mean", "median", "p10", "p90")]
 
 
-@query(DISTANCE_SQL + " SELECT pair, count(*) AS pairs, count(*) FILTER (WHERE identical) AS identical, sum(word_distance)::BIGINT AS word_distance, sum(word_length)::BIGINT AS word_length, sum(char_distance)::BIGINT AS char_distance, sum(char_length)::BIGINT AS char_length, " + _DESC.format("word_normalized") + " FROM distances GROUP BY pair")
+@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
 def edit_summary(spark, sf):
     d = pair_distances(triples(spark, sf))
     sums = [F.sum(c).cast("long").alias(c) for c in ("word_distance", "word_length", "char_distance", "char_length")]
     return d.groupBy("pair").agg(F.count("*").alias("pairs"), F.count_if("identical").alias("identical"), *sums, *_described("word_normalized"))
 
 
-@query(DISTANCE_SQL + " SELECT pair, round(sum(word_distance) / sum(word_length), 9) AS word, round(sum(char_distance) / sum(char_length), 9) AS char FROM distances GROUP BY pair")
+@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
 def pooled_distance(spark, sf):
     return pair_distances(triples(spark, sf)).groupBy("pair").agg(*[F.round(F.sum(f"{u}_distance") / F.sum(f"{u}_length"), 9).alias(u) for u in ("word", "char")])
 
@@ -286,7 +285,7 @@ def wide_flatten(spark, sf):
     return s.groupBy("line").agg(*[c for v in VARIANTS for c in (pick(v, "status").alias(f"{v}_status"), pick(v, "tokens").cast("long").alias(f"{v}_tokens"), F.round(pick(v, "nll"), 9).alias(f"{v}_nll"))])
 
 
-_BUDGET = 330
+_BUDGET = 2000
 _LEN = "(length(seg) + 2 + length(rtrim({0}, chr(32) || chr(9) || chr(10) || chr(13))) + 1)"
 _SFT_REASON = f"CASE WHEN corrected IS NULL OR trim(corrected) = '' OR trim(seg) = '' THEN 'missing_or_empty_field' WHEN {_LEN.format('corrected')} > {_BUDGET} THEN 'max_length' END"
 _PREF_REASON = f"CASE WHEN corrected IS NULL OR base IS NULL OR trim(corrected) = '' OR trim(base) = '' OR trim(seg) = '' THEN 'missing_or_empty_field' WHEN {_LEN.format('corrected')} > {_BUDGET} OR {_LEN.format('base')} > {_BUDGET} THEN 'max_length' WHEN corrected = base THEN 'identical_preferences' END"
@@ -296,9 +295,9 @@ def _reasoned(spark, sf, *answers):
     return R.with_reason(triples(spark, sf), "seg", list(answers), _BUDGET)
 
 
-@query(w(f"SELECT line FROM triples WHERE length(seg) + 2 + 64 <= 200"))
+@query(w(f"SELECT line FROM triples WHERE length(seg) + 2 + 64 <= 1400"))
 def budget_filter(spark, sf):
-    return triples(spark, sf).where(F.size(R.prompt_ids(F.col("seg"))) + 64 <= 200).select("line")
+    return triples(spark, sf).where(F.size(R.prompt_ids(F.col("seg"))) + 64 <= 1400).select("line")
 
 
 @query(w(f"SELECT reason, count(*) AS n FROM (SELECT {_PREF_REASON} AS reason FROM triples) WHERE reason IS NOT NULL GROUP BY reason"))
@@ -337,17 +336,17 @@ def _jobs(spark, sf):
     return triples(spark, sf).select("line", F.lit("fr").alias("language"), F.col("base").alias("prompt"))
 
 
-_FINISH = "CASE WHEN base IS NULL OR length(base) + 20 > 215 THEN 'skipped' WHEN line % 7 = 0 THEN 'length' ELSE 'stop' END"
+_FINISH = "CASE WHEN base IS NULL OR length(base) + 20 > 1400 THEN 'skipped' WHEN line % 7 = 0 THEN 'length' ELSE 'stop' END"
 
 
 @query(w(f"SELECT finish, count(*) AS n FROM (SELECT {_FINISH} AS finish FROM triples) GROUP BY finish"))
 def finish_reason_counts(spark, sf):
-    return G.generate(_jobs(spark, sf), budget=215, reserved=20).groupBy(F.col("finish_reason").alias("finish")).agg(F.count("*").alias("n"))
+    return G.generate(_jobs(spark, sf), budget=1400, reserved=20).groupBy(F.col("finish_reason").alias("finish")).agg(F.count("*").alias("n"))
 
 
-@query(w(f"SELECT line, CASE WHEN base IS NULL THEN 'skipped' WHEN length(base) + 20 > 215 THEN 'context_budget_exceeded' WHEN line % 7 = 0 THEN 'generation_length' END AS skip_reason, CASE WHEN {_FINISH} = 'stop' THEN length(base) END AS n_text FROM triples"))
+@query(w(f"SELECT line, CASE WHEN base IS NULL THEN 'skipped' WHEN length(base) + 20 > 1400 THEN 'context_budget_exceeded' WHEN line % 7 = 0 THEN 'generation_length' END AS skip_reason, CASE WHEN {_FINISH} = 'stop' THEN length(replace(base, chr(223), 'SS')) END AS n_text FROM triples"))
 def skip_union(spark, sf):
-    return G.generate(_jobs(spark, sf), budget=215, reserved=20).select("line", "skip_reason", F.length("text").cast("long").alias("n_text"))
+    return G.generate(_jobs(spark, sf), budget=1400, reserved=20).select("line", "skip_reason", F.length("text").cast("long").alias("n_text"))
 
 
 @query(w("SELECT line, CASE WHEN line % 5 = 0 OR line % 7 = 0 THEN NULL ELSE human END AS corrected, CASE WHEN line % 5 = 0 THEN 'invalid_json' WHEN line % 7 = 0 THEN 'missing_string_field' END AS extraction_error FROM triples"))

@@ -14,15 +14,15 @@ SQL = r"""triples AS (
   SELECT row_number() OVER (ORDER BY conv_id, turn) AS line, conv_id, seg, CASE WHEN conv_id % 11 = 0 THEN NULL ELSE b0 END AS base,
          regexp_replace(b0, '\b[tT]h[a-z]*\b', 'zz', 'g') AS human,
          CASE conv_id % 4 WHEN 0 THEN b0 WHEN 1 THEN regexp_replace(b0, '[.]', '!', 'g') WHEN 2 THEN NULL ELSE regexp_replace(b0, '^[A-Za-z]+ ', '', 'g') END AS corrected
-  FROM (SELECT u.conv_id, u.turn, left(u.text, 200) AS seg, left(a.text, 200) AS b0 FROM conversations u JOIN conversations a
+  FROM (SELECT u.conv_id, u.turn, u.text AS seg, a.text AS b0 FROM conversations u JOIN conversations a
         ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'))"""
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line, conv_id, seg, base, human, corrected)."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    u = c.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(200)).alias("seg"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.left("text", F.lit(200)).alias("b0"))
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("seg"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b0"))
     t = number_lines(u.join(a, ["conv_id", "turn"]), ["conv_id", "turn"])
     b0, k = F.col("b0"), F.col("conv_id") % 4
     corrected = F.when(k == 0, b0).when(k == 1, F.regexp_replace(b0, "[.]", "!")).when(k == 3, F.regexp_replace(b0, "^[A-Za-z]+ ", ""))
@@ -52,9 +52,9 @@ def _distance(a: str, b: str) -> str:
 DISTANCE_SQL = (
     f"WITH {SQL}, pairs AS ("
     + " UNION ALL ".join(f"SELECT line, '{a}_vs_{b}' AS pair, {a} AS a, {b} AS b FROM triples" for a, b in PAIRS)
-    + f"), lists AS (SELECT line, pair, a, b, string_split(a, '') AS ca, string_split(b, '') AS cb, {TOKENS.format('a')} AS ta, {TOKENS.format('b')} AS tb FROM pairs WHERE trim(a) <> '' AND trim(b) <> ''),"
-    + f" measured AS (SELECT line, pair, a = b AS identical, {_distance('ca', 'cb')} AS char_distance, greatest(len(ca), len(cb)) AS char_length, {_distance('ta', 'tb')} AS word_distance, greatest(len(ta), len(tb)) AS word_length FROM lists),"
-    + " distances AS (SELECT *, CASE WHEN char_length > 0 THEN char_distance / char_length ELSE 0 END AS char_normalized, CASE WHEN word_length > 0 THEN word_distance / word_length ELSE 0 END AS word_normalized FROM measured)"
+    + f"), lists AS (SELECT line, pair, a, b, string_split(a, '') AS ca, string_split(b, '') AS cb FROM pairs WHERE trim(a) <> '' AND trim(b) <> ''),"
+    + f" measured AS (SELECT line, pair, a = b AS identical, {_distance('ca', 'cb')} AS char_distance, greatest(len(ca), len(cb)) AS char_length FROM lists),"
+    + " distances AS (SELECT *, CASE WHEN char_length > 0 THEN char_distance / char_length ELSE 0 END AS char_normalized FROM measured)"
 )
 
 
@@ -63,7 +63,7 @@ def stand_in_scores(t: DataFrame) -> DataFrame:
     made = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("text")) for v in VARIANTS])
     rows = t.select("line", F.explode(made).alias("x")).select("line", "x.*")
     n = F.length("text")
-    status = F.when(F.col("text").isNull() | (F.trim("text") == ""), "missing_or_empty").when(n > 190, "context_budget_exceeded").otherwise("ok")
+    status = F.when(F.col("text").isNull() | (F.trim("text") == ""), "missing_or_empty").when(n > 1400, "context_budget_exceeded").otherwise("ok")
     vowels = n - F.length(F.translate("text", "aeiou", ""))
     ok = F.col("status") == "ok"
     rows = rows.withColumn("status", status).withColumn("tokens", F.when(ok, n)).withColumn("total_logprob", F.when(ok, -(0.5 * n + 0.25 * vowels)))
@@ -74,7 +74,7 @@ def stand_in_scores(t: DataFrame) -> DataFrame:
 SCORES_SQL = (
     f"WITH {SQL}, variants AS ("
     + " UNION ALL ".join(f"SELECT line, '{v}' AS variant, {v} AS text FROM triples" for v in VARIANTS)
-    + "), marked AS (SELECT *, CASE WHEN text IS NULL OR trim(text) = '' THEN 'missing_or_empty' WHEN length(text) > 190 THEN 'context_budget_exceeded' ELSE 'ok' END AS status FROM variants),"
+    + "), marked AS (SELECT *, CASE WHEN text IS NULL OR trim(text) = '' THEN 'missing_or_empty' WHEN length(text) > 1400 THEN 'context_budget_exceeded' ELSE 'ok' END AS status FROM variants),"
     + " counted AS (SELECT line, variant, status, CASE WHEN status = 'ok' THEN length(text) END AS tokens, CASE WHEN status = 'ok' THEN -(0.5 * length(text) + 0.25 * (length(text) - length(translate(text, 'aeiou', ''))))::DOUBLE END AS total_logprob FROM marked),"
     + " scores AS (SELECT *, -total_logprob / tokens AS nll, exp(-total_logprob / tokens) AS perplexity FROM counted),"
     + " complete AS (SELECT line FROM scores GROUP BY line HAVING bool_and(status = 'ok'))"
