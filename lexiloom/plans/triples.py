@@ -42,17 +42,17 @@ def pair_distances(t: DataFrame) -> DataFrame:
 
 
 TOKENS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\x09-\x0d\x1c-\x20\x{{85}}\p{{Z}}]')"
-_ENC = "coalesce(list_aggregate(list_transform({0}, lambda z: chr(list_position(list_sort(list_distinct({1} || {2})), z)::int)), 'string_agg', ''), '')"
+_ENC = "coalesce(list_aggregate(list_transform({0}, lambda z: chr(list_position(abc, z)::int)), 'string_agg', ''), '')"
 
 
 def _distance(a: str, b: str) -> str:
-    return f"levenshtein({_ENC.format(a, a, b)}, {_ENC.format(b, a, b)})"
+    return f"levenshtein({_ENC.format(a)}, {_ENC.format(b)})"
 
 
 DISTANCE_SQL = (
     f"WITH {SQL}, pairs AS ("
     + " UNION ALL ".join(f"SELECT line, '{a}_vs_{b}' AS pair, {a} AS a, {b} AS b FROM triples" for a, b in PAIRS)
-    + f"), lists AS (SELECT line, pair, a, b, string_split(a, '') AS ca, string_split(b, '') AS cb FROM pairs WHERE trim(a) <> '' AND trim(b) <> ''),"
+    + f"), lists AS (SELECT line, pair, a, b, string_split(a, '') AS ca, string_split(b, '') AS cb, list_sort(list_distinct(string_split(a, '') || string_split(b, ''))) AS abc FROM pairs WHERE trim(a) <> '' AND trim(b) <> ''),"
     + f" measured AS (SELECT line, pair, a = b AS identical, {_distance('ca', 'cb')} AS char_distance, greatest(len(ca), len(cb)) AS char_length FROM lists),"
     + " distances AS (SELECT *, CASE WHEN char_length > 0 THEN char_distance / char_length ELSE 0 END AS char_normalized FROM measured)"
 )
