@@ -52,6 +52,36 @@ def test_simhash_equals_brute_force(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len({c for _, _, c in fps if c is not None}) + sum(c is None for _, _, c in fps)
 
 
+def _shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rand, rows, near, far = random.Random(8), [], [], []
+    for n in range(60):
+        words = [f"w{rand.randrange(5000)}" for _ in range(rand.randint(150, 400))]
+        rows.append((len(rows), " ".join(words), "a"))
+        copy = list(words)
+        for at in rand.sample(range(len(copy)), max(1, len(copy) // 100 if n % 2 else len(copy) // 6)):
+            copy[at] = "changed"
+        a, b = _shingles(rows[-1][1]), _shingles(" ".join(copy))
+        alike = len(a & b) / len(a | b)
+        (near if alike >= 0.87 else far if alike < 0.65 else []).append(len(rows))
+        rows.append((len(rows), " ".join(copy), "b"))
+    big = [f"v{rand.randrange(5000)}" for _ in range(300)]  # one group of copies as large as all the rest
+    group = range(len(rows), len(rows) + len(rows))
+    for i in group:
+        rows.append((i, " ".join(big[:-1] + [f"z{i}"]), "c"))
+    rows += [(None, None, None), (None, None, None), (9001, "", "key"), (9001, "", "key"), (9002, "tiny", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
+    kept = [r.doc_id for r in simhash.keep_one(docs.orderBy("doc_id", "text"), width=5, similarity=0.8).collect()]
+    assert len(near) > 20 and len(far) > 20
+    assert not set(near) & set(kept) and set(far) <= set(kept) and {i - 1 for i in near + far} <= set(kept)
+    assert [i for i in kept if i in group] == [group[0]]
+    assert kept.count(9001) == 1 and 9002 in kept and None not in kept
+
+
 def test_covering_masks_meet_every_pair():
     masks = simhash.covering_masks(4)
     for places in [R.sample(range(64), 4) for _ in range(3000)]:
