@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, with shingles of five words."""
-    return keep_one(docs, width=5, radius=4)
+    """One document of each group of near duplicates: fingerprints within four bits, or shingles of five words alike by 0.8."""
+    return keep_one(docs, width=5, radius=4, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
