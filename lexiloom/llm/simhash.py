@@ -219,24 +219,37 @@ def fingerprints(docs: DataFrame, width: int = 4, sketches: bool = False) -> Dat
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, sketch) sorted by key: links (u, v) between each row and every hub of its key that is like it; a row like none becomes a hub."""
-    now, hubs, names, used = None, np.empty((64, BANDS * BAND_ROWS), np.uint32), [], 0
+    """Rows (key, fp, sketch) sorted by key: links (u, v) of each row to the hubs of its key that are like it, one a group of linked hubs.
+
+    A row like none becomes a hub. Links are a forest: fewer than the key has rows."""
+    need = similarity * BANDS * BAND_ROWS
+    now, hubs, group, names, used, groups, best = None, np.empty((64, BANDS * BAND_ROWS), np.uint32), np.empty(64, np.int64), [], 0, 0, 0
     for batch in batches:
         u, v = [], []
         for key, fp, data in zip(*(batch.column(c).to_pylist() for c in ("key", "fp", "sketch"))):
             if key != now:
-                now, names, used = key, [], 0
+                now, names, used, groups, best = key, [], 0, 0, 0
             own = np.frombuffer(data, "<u4")
-            near = np.flatnonzero((hubs[:used] == own).mean(axis=1) >= similarity) if used else []
-            for h in near:
+            if groups == 1 and np.count_nonzero(hubs[best] == own) >= need:  # the hub met last; nothing else to connect
                 u.append(fp)
-                v.append(names[h])
+                v.append(names[best])
+                continue
+            near = np.flatnonzero(np.count_nonzero(hubs[:used] == own, axis=1) >= need) if used else ()
             if not len(near):
                 if used == len(hubs):
-                    hubs = np.concatenate([hubs, np.empty_like(hubs)])
-                hubs[used] = own
+                    hubs, group = np.concatenate([hubs, np.empty_like(hubs)]), np.concatenate([group, np.empty_like(group)])
+                hubs[used], group[used] = own, used
                 names.append(fp)
-                used += 1
+                used, groups = used + 1, groups + 1
+                continue
+            met, first = np.unique(group[near], return_index=True)
+            best = int(near[0])
+            for h in near[first]:
+                u.append(fp)
+                v.append(names[h])
+            if len(met) > 1:
+                group[:used][np.isin(group[:used], met)] = met[0]
+                groups -= len(met) - 1
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
