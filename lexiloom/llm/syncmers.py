@@ -5,7 +5,7 @@ the smallest s-mer hash in it lies at its first or last place. The choice looks
 anchors wherever it stands. The fingerprint is the bottom-`size` sketch of the anchors' hashes (8 hex digits each, ascending); the likeness
 of two is the bottom-sketch estimate of the Jaccard index of their anchor sets.
 
-Words are split at ASCII white space after lower-casing. A text of fewer than k words is one anchor; one without words has the empty
+Words are split at ASCII white space after lower-casing. A text of fewer than k words, or of which no k-mer is chosen, is one anchor; one without words has the empty
 fingerprint, whose likeness to another empty one is 1 and to any other 0. Null texts are empty texts.
 Rows with one doc_id more than once: each row is fingerprinted; as "next document" the row with the smallest text stands for the id. The row
 after a null id is that of the smallest id. A table whose only id is a document's own has that document as its next one.
@@ -29,7 +29,9 @@ def with_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2, size
     edge = lambda x, i: F.least(x, F.get(F.col(g), i + inner)) <= F.least(*[F.get(F.col(g), i + j) for j in range(1, inner)])
     kmer = lambda x, i: F.when((i < F.size(g) - (k - 1)) & edge(x, i), F.xxhash64(x, *[F.get(F.col(g), i + j) for j in range(1, inner + 1)]))
     df = df.withColumn(a, F.when(F.size(w) >= k, F.transform(F.col(g), kmer)).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>")))
-    low = F.array_distinct(F.transform(F.array_compact(F.col(a)), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
+    chosen = F.array_compact(F.col(a))
+    chosen = F.when((F.size(chosen) == 0) & (F.size(w) > 0), F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(chosen)  # a short text may have no closed k-mer
+    low = F.array_distinct(F.transform(chosen, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
     return df.withColumn(out, F.slice(F.array_sort(low), 1, size)).drop(w, g, a)
 
 

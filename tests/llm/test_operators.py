@@ -278,6 +278,13 @@ def test_syncmers(spark, docs, empty):
     assert syncmers.fingerprint_pairs(empty).count() == 0
 
 
+def test_short_texts_have_an_anchor(spark):
+    rand = random.Random(5)
+    rows = [(i, " ".join(f"w{rand.randrange(10**6)}" for _ in range(5 + i % 2))) for i in range(40)]
+    got = syncmers.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.fingerprint and r.edited_fingerprint and r.near_next < 1 for r in got)
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/7?x", "https://x.com/en/1#f", "ftp://b.net/de/2", "http://example.net/de/81", "http://q.org/es/", "http://q.org/fr", "no scheme", None, "http://notcom/en/", "://h"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
