@@ -82,6 +82,25 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept.count(9001) == 1 and 9002 in kept and None not in kept
 
 
+def _pair(rand, shared, each):
+    """Two texts with `shared` shingles of five words in common and `each` of its own in each."""
+    tag = rand.randrange(10**9)
+    head, tails = [f"h{tag}x{i}" for i in range(shared + 4)], [[f"{side}{tag}x{i}" for i in range(each)] for side in "ab"]
+    return [" ".join(head + tail) for tail in tails]
+
+
+def test_similarity_limit_is_exact(spark):
+    rand, rows = random.Random(21), []
+    for shared, each in [(160, 20)] * 60 + [(158, 21)] * 60:  # 160 / 200 = 0.8 and 158 / 200 = 0.79
+        a, b = _pair(rand, shared, each)
+        assert len(_shingles(a) & _shingles(b)) / len(_shingles(a) | _shingles(b)) == shared / (shared + 2 * each)
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs, width=5, radius=0, similarity=0.8).collect()}
+    assert kept >= set(range(0, 240, 2)) | set(range(120, 240))
+    assert len(kept & set(range(1, 120, 2))) <= 2  # what the bands miss: 0.2 % of pairs
+
+
 def test_covering_masks_meet_every_pair():
     masks = simhash.covering_masks(4)
     for places in [R.sample(range(64), 4) for _ in range(3000)]:
