@@ -11,7 +11,8 @@ other vectors, and those above it again by a third; after three levels few bits
 
 A Jaccard index of 0.8 is about ten bits of 64 apart, for which a covering family would need thousands of tables. Where a similarity is
 asked for, minwise sketches of the same shingle hashes give further links: texts that agree in a band of six places of 120 (all but
-0.2 % of pairs at 0.8) are compared by their whole shingle sets. A row is compared with the hubs of its bands only, so no group is expanded into pairs.
+0.2 % of pairs at 0.8) are compared by their whole shingle sets. Each band gives a spanning forest of
+its links, so no group is expanded into pairs; the sets of a band's texts are held in one task.
 
 Nulls: a null text is an empty one, which has fingerprint zero and links like any other. A null doc_id is kept as a row; it is never a
 component's id unless no row of the component has an id. Repeated rows are kept and share a component. Other columns are ignored.
@@ -227,26 +228,51 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, shingles) sorted by key: links (u, v) of each row to the hubs of its key that are like it, one a group of linked hubs.
+    """Rows (key, fp, shingles) sorted by key: links (u, v) that connect whatever pairs of a key as alike as that connect.
 
-    A row like none becomes a hub. Links are a forest: fewer than the key has rows."""
-    now, names, sets, group = None, [], [], []
+    A row is compared with the hubs of its key, and with the members of a hub (rows like it) where the triangle inequality of the Jaccard
+    distance leaves room for one like the row. It gets one link to each group it is like, so links are a forest: fewer than the key has rows.
+    A row like no hub becomes one."""
+    room = 1 - similarity + 1e-9
+    now, names, sets, group, members, best = None, [], [], [], [], 0
     for batch in batches:
         u, v = [], []
         for key, fp, data in zip(*(batch.column(c).to_pylist() for c in ("key", "fp", "shingles"))):
             if key != now:
-                now, names, sets, group = key, [], [], []
-            own, met = np.frombuffer(data, "<u8"), []
-            for h in range(len(sets)):
-                if group[h] not in met and alike(own, sets[h]) >= similarity:
+                now, names, sets, group, members, best = key, [], [], [], [], 0
+            own, met, far, hub = np.frombuffer(data, "<u8"), [], [], None
+            groups = len(set(group))
+            for h in itertools.chain(range(best, len(sets)), range(best)):  # the hub met last comes first
+                if group[h] in met:
+                    continue
+                like = alike(own, sets[h])
+                if like >= similarity:
                     u.append(fp)
                     v.append(names[h])
                     met.append(group[h])
-            if not met:
-                group.append(len(sets))
+                    hub = (h, like) if hub is None else hub
+                    if len(met) == groups:
+                        break
+                elif 1 - like <= 2 * room:
+                    far.append((h, 1 - like))
+            for h, gap in far:
+                if group[h] in met:
+                    continue
+                for distance, name, other in members[h]:
+                    if gap - distance <= room and alike(own, other) >= similarity:
+                        u.append(fp)
+                        v.append(name)
+                        met.append(group[h])
+                        break
+            if hub is not None:
+                best = hub[0]
+                members[best].append((1 - hub[1], fp, own))
+            else:
+                group.append(met[0] if met else len(sets))
                 names.append(fp)
                 sets.append(own)
-            elif len(met) > 1:
+                members.append([])
+            if len(met) > 1:
                 group = [met[0] if g in met else g for g in group]
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 

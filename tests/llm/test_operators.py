@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import xxhash
@@ -101,6 +102,33 @@ def test_similarity_limit_is_exact(spark):
     assert len(kept & set(range(1, 120, 2))) <= 2  # what the bands miss: 0.2 % of pairs
 
 
+def test_forest_of_a_band_spans_all_links():
+    rand = random.Random(31)
+    for _ in range(40):
+        sets = []
+        for _ in range(3):
+            sets.append(set(rand.sample(range(10**6), 60)))
+            for _ in range(12):
+                base = rand.choice(sets[-6:])
+                sets.append(set(rand.sample(sorted(base), 60 - (n := rand.randint(2, 6)))) | set(rand.sample(range(10**6), n)))
+        rand.shuffle(sets)
+        rows = [pa.RecordBatch.from_pydict({"key": [7] * len(sets), "fp": list(range(len(sets))), "shingles": [np.array(sorted(x), "<u8").tobytes() for x in sets]})]
+        want, got = list(range(len(sets))), list(range(len(sets)))
+
+        def find(root, x):
+            return x if root[x] == x else find(root, root[x])
+
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                want[find(want, j)] = find(want, i)
+        links = [x for b in simhash._similar(iter(rows), 0.8) for x in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+        for i, j in links:
+            assert len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and find(got, i) != find(got, j)
+            got[find(got, i)] = find(got, j)
+        part = lambda root: [[find(root, i) == find(root, j) for j in range(len(sets))] for i in range(len(sets))]
+        assert part(want) == part(got)
+
+
 def test_covering_masks_meet_every_pair():
     masks = simhash.covering_masks(4)
     for places in [R.sample(range(64), 4) for _ in range(3000)]:
