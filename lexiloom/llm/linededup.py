@@ -2,6 +2,8 @@
 
 Lines (split at \\n, trimmed, A-Z lower-cased) of at least `min_chars` bytes that are equal, or within edit distance `distance` through a chain
 of such lines, form a class; the first occurrence of a class (smallest doc_id, then line number) stays and all others go. Shorter lines stay.
+With min_chars=1, as in the queries, every line that is not blank counts. Lines of at most `distance` bytes, which are all within the distance
+of each other, form a class only where they are equal; all other lines are joined, short ones too.
 
 The join: a line is cut into distance+1 segments, of which a line within the distance must hold one unchanged, at a place the length
 difference narrows down. Each line is indexed under (its length, segment number, segment) and probes for its own and each shorter length.
@@ -149,10 +151,12 @@ def _key_blobs(docs: DataFrame, distance: int, min_chars: int, spread: int) -> D
                         continue
                     seen.add(a)
                     n = len(x)
+                    if n <= distance:
+                        continue
                     plan = plans.get(n)
                     if plan is None:
                         plan = [(s, s + m, (n << 8) + i, 0) for i, (s, m) in enumerate(segments(n, distance + 1))]
-                        plan += [(s, s + m, (o << 8) + i, 1) for o in range(max(min_chars, n - distance), n + 1) for i, s, m in probe_places(n, o, distance)]
+                        plan += [(s, s + m, (o << 8) + i, 1) for o in range(max(min_chars, distance + 1, n - distance), n + 1) for i, s, m in probe_places(n, o, distance)]
                         plans[n] = plan
                     for s, e, seed, role in plan:
                         keys.append(digest(x[s:e], seed) >> 1 << 1 | role)

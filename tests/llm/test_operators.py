@@ -264,6 +264,39 @@ def test_line_dedup_equals_brute_force(spark):
     assert kept.columns == ["doc_id", "text", "n_chars"] and kept.where("doc_id in (7, 8)").isEmpty()
 
 
+def _removed_by_definition(texts, distance=2):
+    """Line numbers that go from each text (ids in order), by comparing every pair of lines."""
+    lines = [(i, n, x) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if (x := line.strip().lower())]
+    root = list(range(len(lines)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        a, b = lines[i][2], lines[j][2]
+        if a == b or (min(len(a), len(b)) > distance and abs(len(a) - len(b)) <= distance and _edit(a, b) <= distance):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [sorted(n for k, (i, n, _) in enumerate(lines) if i == doc and find(k) != k) for doc in range(len(texts))]
+
+
+def test_short_repeated_lines_go(spark, tmp_path):
+    from lexiloom.llm.queries import op9_line_dedup
+
+    rand = random.Random(4)
+    word = lambda n: "".join(rand.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = ["\n".join(["Home", word(rand.randint(8, 14)), "ok", word(40), "", "All rights reserved."[: 20 - i % 3], "x" if i == 3 else "yy"]) for i in range(12)]
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = _removed_by_definition(texts)
+    got = {r.doc_id: r.removed_lines for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert {0, 2, 5} <= set(want[5]) and want[0] == [] and [got[i] for i in range(12)] == [",".join(map(str, x)) for x in want]
+    import corpus_pipeline
+
+    kept = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert kept.where("doc_id > 0 and text like '%Home%'").isEmpty() and kept.count() == 12
+
+
 def test_context_tree_equals_direct_recursion():
     text = b"abracadabra abra\n"
     keys, counts = ctw.tally(ctw.strings([text])[0])
