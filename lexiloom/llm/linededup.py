@@ -1,8 +1,8 @@
 """Line dedup with a segment-partition edit join.
 
-Lines (split at \\n, trimmed, A-Z lower-cased) of at least `min_chars` bytes that are equal, or within edit distance `distance` through a chain
+Lines (split at \\n, trimmed, A-Z lower-cased) of at least `min_chars` characters that are equal, or within edit distance `distance` through a chain
 of such lines, form a class; the first occurrence of a class (smallest doc_id, then line number) stays and all others go. Shorter lines stay.
-With min_chars=1, as in the queries, every line that is not blank counts. Lines of at most `distance` bytes, which are all within the distance
+With min_chars=1, as in the queries, every line that is not blank counts. Lines of at most `distance` characters, which are all within the distance
 of each other, form a class only where they are equal; all other lines are joined, short ones too.
 
 The join: a line is cut into distance+1 segments, of which a line within the distance must hold one unchanged, at a place the length
@@ -12,7 +12,7 @@ looked up. Candidates are verified by a banded bit-parallel edit distance. Insid
 than `bucket` lines are cut into blocks, each pair of blocks a task.
 
 Equal lines are merged before the join by a 128-bit hash, with map-side aggregation, so a line that every document holds is one row.
-A line's bytes count for lengths and distances (UTF-8).
+Lengths and distances count characters (code points); a line of ASCII is handled as bytes.
 
 Nulls: a null text has no lines and stays null. A null doc_id sorts first. Rows with equal doc_id and text are one document and get
 equal results. A document that loses all its lines keeps an empty text here (drop_empty=True drops it). Other columns are carried through.
@@ -33,7 +33,12 @@ from .graph import connected_components
 
 def lines_of(text: bytes, min_chars: int) -> list[tuple[int, bytes]]:
     """(line number, normal form) of the lines long enough to count."""
-    return [(i, x) for i, line in enumerate(text.split(b"\n")) if len(line) >= min_chars and len(x := line.strip().lower()) >= min_chars]
+    return [(i, x) for i, line in enumerate(text.split(b"\n")) if len(line) >= min_chars and len(x := line.strip().lower()) >= min_chars and (min_chars == 1 or len(characters(x)) >= min_chars)]
+
+
+def characters(line: bytes) -> bytes | str:
+    """A line with one element a character: bytes of ASCII as they are, others decoded."""
+    return line if line.isascii() else line.decode("utf-8", "surrogateescape")
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -59,7 +64,7 @@ def probe_places(own: int, other: int, distance: int) -> list[tuple[int, int, in
     return out
 
 
-def within(a: bytes, b: bytes, distance: int) -> bool:
+def within(a: bytes | str, b: bytes | str, distance: int) -> bool:
     """Whether the edit distance is at most `distance`: common ends go, then diagonals within the distance are kept as bits, one word an error count."""
     if abs(len(a) - len(b)) > distance:
         return False
@@ -150,7 +155,8 @@ def _key_blobs(docs: DataFrame, distance: int, min_chars: int, spread: int) -> D
                     if a in seen:
                         continue
                     seen.add(a)
-                    n = len(x)
+                    x = characters(x)
+                    n, encode = len(x), isinstance(x, str)
                     if n <= distance:
                         continue
                     plan = plans.get(n)
@@ -159,7 +165,7 @@ def _key_blobs(docs: DataFrame, distance: int, min_chars: int, spread: int) -> D
                         plan += [(s, s + m, (o << 8) + i, 1) for o in range(max(min_chars, distance + 1, n - distance), n + 1) for i, s, m in probe_places(n, o, distance)]
                         plans[n] = plan
                     for s, e, seed, role in plan:
-                        keys.append(digest(x[s:e], seed) >> 1 << 1 | role)
+                        keys.append(digest(x[s:e].encode("utf-8", "surrogateescape") if encode else x[s:e], seed) >> 1 << 1 | role)
                         ids.append(a)
                 if len(keys) > 3_000_000:
                     yield from flush()
@@ -215,7 +221,7 @@ def _shared_keys(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.
         yield from solve(keys, ids)
 
 
-def forest(lines: list[bytes], distance: int) -> list[tuple[int, int]]:
+def forest(lines: list[str], distance: int) -> list[tuple[int, int]]:
     """Links that connect whatever pairs within the distance connect; a line is compared with no more of a group once it is linked to it."""
     root, links, groups = list(range(len(lines))), [], []
 
@@ -254,7 +260,7 @@ def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
                 now, ids, lines = (k, a, b), [], []
             if not ids or ids[-1] != i:
                 ids.append(i)
-                lines.append(x)
+                lines.append(x.decode("utf-8", "surrogateescape"))
     if lines:
         yield links()
 

@@ -297,6 +297,23 @@ def test_short_repeated_lines_go(spark, tmp_path):
     assert kept.where("doc_id > 0 and text like '%Home%'").isEmpty() and kept.count() == 12
 
 
+def test_line_distance_counts_characters(spark):
+    rand = random.Random(6)
+    texts = []
+    for letters in ("éèàüß", "日本語文字列", "abcé", "ab😀"):
+        line = "".join(rand.choices(letters, k=24))
+        texts.append(line)
+        for edits in (1, 2, 3):
+            x = list(line)
+            for at in rand.sample(range(24), edits):
+                x[at] = "e" if edits % 2 else "字"
+            texts += ["".join(x[1:]) if edits == 1 else "".join(x)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.removed for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()}
+    want = _removed_by_definition(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) >= 8
+
+
 def test_context_tree_equals_direct_recursion():
     text = b"abracadabra abra\n"
     keys, counts = ctw.tally(ctw.strings([text])[0])
