@@ -5,7 +5,7 @@ forward and a backward gated recurrent layer read the window, attention weighs t
 text is cut into overlapping windows over its whole length, all are scored, and the highest window decides, calibrated to a probability.
 
 Fitting: documents come from a sample of at most `max_train` labelled rows (half of each label, as far as there are, in order of the hash of
-doc_id), of each at most `windows_per_doc` windows, evenly spaced. After the first quarter of the epochs only the windows of a toxic document near its
+doc_id), with all windows of each. After the first quarter of the epochs only the windows of a toxic document near its
 highest stay (the document is labelled, not the window). Every fifth document of the sample is kept for the calibration. Training is seeded. The model (about 1 MB) is broadcast.
 
 Labels are read only for rows whose id has remainder other than 0. Conflicting labels of one doc_id count as toxic. A null toxic label is no
@@ -177,14 +177,30 @@ def indexed(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.nda
     return list(number), index, mask
 
 
-def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, batch: int = 256, min_steps: int = 500, rate: float = 0.006, decay: float = 0.02, seed: int = 5) -> dict:
-    """documents: (windows, label). Every fifth document is kept for the calibration (scale, shift) of a document's highest logit.
+class Windows:
+    """All windows of some texts (lists of words), cut when they are read."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.texts = texts
+        starts = [window_starts(len(x)) for x in texts]
+        self.owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+        self.starts = np.array([s for x in starts for s in x], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def at(self, rows: np.ndarray) -> list[list[bytes]]:
+        return [self.texts[i][s : s + WINDOW] for i, s in zip(self.owner[rows], self.starts[rows])]
+
+
+def train(documents: list[tuple[list[bytes], int]], epochs: int = 6, batch: int = 256, min_steps: int = 500, rate: float = 0.006, decay: float = 0.02, seed: int = 5) -> dict:
+    """documents: (words, label). Every fifth document is kept for the calibration (scale, shift) of a document's highest logit.
 
     In the first quarter of the epochs all windows carry their document's label; before each later one, a toxic document keeps only the windows near its highest."""
     p = new_parameters(seed)
     fitted, checked = [x for i, x in enumerate(documents) if i % 5 != 4], documents[4::5]
-    windows = [w for ws, _ in fitted for w in ws]
-    owner = np.repeat(np.arange(len(fitted)), [len(ws) for ws, _ in fitted])
+    windows = Windows([x for x, _ in fitted])
+    owner = windows.owner
     label = np.array([y for _, y in fitted], np.float32)[owner]
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     r, logits = np.random.default_rng(seed), np.zeros(len(windows), np.float32)
@@ -196,7 +212,7 @@ def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, batch
         weight = np.where(label == 1, max(1.0, 0.3 * (label[order] == 0).sum() / max(1, (label[order] == 1).sum())), 1.0).astype(np.float32)
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
-            words, index, mask = indexed([windows[i] for i in rows])
+            words, index, mask = indexed(windows.at(rows))
             g, _ = gradients(p, word_codes(words), index, mask, label[rows], weight[rows])
             t += 1
             now = rate * (0.3 if epoch >= epochs - 2 else 1.0)
@@ -205,8 +221,8 @@ def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 6, batch
                 v[k] += 0.001 * (g[k] * g[k] - v[k])
                 x -= now * ((m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * x)
         logits = logits_of(p, windows)
-    owner = np.repeat(np.arange(len(checked)), [len(ws) for ws, _ in checked])
-    top = highest(logits_of(p, [w for ws, _ in checked for w in ws]), owner, len(checked))
+    windows = Windows([x for x, _ in checked])
+    top = highest(logits_of(p, windows), windows.owner, len(checked))
     return p | {"calibration": calibrate(top, np.array([y for _, y in checked]))}
 
 
@@ -216,10 +232,10 @@ def highest(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return top
 
 
-def logits_of(p: dict, windows: list[list[bytes]]) -> np.ndarray:
+def logits_of(p: dict, windows: Windows) -> np.ndarray:
     out = np.zeros(len(windows), np.float32)
     for s in range(0, len(windows), 4096):
-        words, index, mask = indexed(windows[s : s + 4096])
+        words, index, mask = indexed(windows.at(np.arange(s, min(s + 4096, len(windows)))))
         out[s : s + 4096] = forward(p, gate_inputs(p, words), index, mask)
     return out
 
@@ -233,26 +249,18 @@ def calibrate(top: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.array(grid[int(np.argmin(losses))])
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_train: int, windows_per_doc: int, folds: int) -> list[tuple[list[list[bytes]], int]]:
-    """The training documents, as windows of words."""
+def sample(docs: DataFrame, labels: DataFrame, max_train: int, folds: int) -> list[tuple[list[bytes], int]]:
+    """The training documents, as words; equal words are one object."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_fold("doc_id", folds) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     half = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2) for y in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]))  # at most max_train rows
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            out = []
-            for text in batch_bytes(batch.column("text")):
-                words = words_of(text)
-                starts = window_starts(len(words))
-                if len(starts) > windows_per_doc:
-                    starts = [starts[i * len(starts) // windows_per_doc] for i in range(windows_per_doc)]
-                out.append([b" ".join(words[s : s + WINDOW]) for s in starts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array(out, pa.list_(pa.binary())), batch.column("toxic")], ["doc_id", "windows", "toxic"])
-
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(cut, f"doc_id string, windows array<binary>, toxic {dict(labels.dtypes)['toxic']}")
-    got = rows.orderBy("doc_id").limit(2 * max_train).collect()
-    return [([bytes(w).split() for w in r.windows], int(r.toxic)) for r in got if r.windows]
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"), "toxic")
+    known_words: dict[bytes, bytes] = {}
+    out = []
+    for r in rows.orderBy("doc_id").limit(2 * max_train).toLocalIterator():
+        if words := [known_words.setdefault(w, w) for w in words_of(bytes(r.text or b""))]:
+            out.append((words, int(r.toxic)))
+    return out
 
 
 class Scorer:
@@ -304,11 +312,11 @@ class Scorer:
         return best
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = 3000, windows_per_doc: int = 24) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = 3000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    documents = sample(docs, labels, max_train, windows_per_doc, folds)
+    documents = sample(docs, labels, max_train, folds)
     classes = [y for _, y in documents]
     rate = sum(classes) / len(classes) if classes else 0.0
     shared = spark.sparkContext.broadcast(train(documents) if 0 < rate < 1 else None)

@@ -362,6 +362,25 @@ def test_toxicity(spark):
     assert toxicity.window_starts(25) == [0, 1] and toxicity.window_starts(0) == []
 
 
+def test_toxicity_of_long_documents(spark):
+    rand = random.Random(12)
+    text = lambda n: " ".join(rand.choice(VOCABULARY) + rand.choice(VOCABULARY) for _ in range(n))
+    rows = []
+    for i in range(300):
+        words = text(rand.choice([30, 200, 1500])).split()
+        if i % 2:
+            words[rand.randrange(len(words))] = "scumbag"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    sample = toxicity.sample(docs, labels, 3000, 5)
+    assert sorted(len(w) for w, _ in sample) == sorted(len(t.split()) for i, t in rows if zlib.crc32(str(i).encode()) % 5)
+    got = [(r.predicted, r.doc_id % 2, len(rows[r.doc_id][1].split())) for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out]
+    for size in (30, 200, 1500):
+        assert np.mean([p == y for p, y, n in got if n == size]) > 0.9
+        assert np.mean([p for p, y, n in got if n == size and not y]) < 0.1
+
+
 def test_syncmers(spark, docs, empty):
     base = docs.select("doc_id", "text")
     got = {(r.doc_id, r.n_chars): r for r in syncmers.fingerprint_pairs(base).collect()}
