@@ -401,12 +401,12 @@ def win_loss_tie(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return C.paired_bootstrap(_diffs(spark, sf), 2000)
+    return C.paired_bootstrap(_diffs(spark, sf), 20_000)
 
 
 @query()
 def bootstrap_poisson(spark, sf):
-    return C.poisson_bootstrap(_diffs(spark, sf), 500)
+    return C.poisson_bootstrap(_diffs(spark, sf), 20_000)
 
 
 @query(w("SELECT line AS pos, length(seg) AS a, length(human) AS b FROM triples WHERE line % 6 <> 0"))

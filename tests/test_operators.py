@@ -171,6 +171,18 @@ def test_bootstrap(spark):
     assert (wins.wins, wins.losses, wins.ties) == (3, 1, 1)
 
 
+def test_registered_bootstraps_take_all_resamples(spark, monkeypatch):
+    from lexiloom.plans import queries
+
+    seen = []
+    for name in ("paired_bootstrap", "poisson_bootstrap"):
+        monkeypatch.setattr(queries.C, name, lambda diffs, resamples: seen.append(resamples))
+    monkeypatch.setattr(queries, "_diffs", lambda spark, sf: None)
+    queries.QUERIES["bootstrap_ci"](spark, "")
+    queries.QUERIES["bootstrap_poisson"](spark, "")
+    assert seen == [20_000, 20_000]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, "the cat sat on the mat".split(), "the cat sat on the mat".split())], "line long, h array<string>, r array<string>")
     m = [(r.n, r.matched, r.left_total, r.right_total) for r in metrics.ngram_matches(df, "h", "r", range(1, 5)).collect()]
