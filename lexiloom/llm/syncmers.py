@@ -1,92 +1,121 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-The text is taken as words; a k-mer is `k` words in a row, its inner substrings are the s-mers of `s` words in it. A k-mer is chosen when
-the smallest s-mer hash in it lies at its first or last place. The choice looks at nothing outside the k-mer, so a passage gives the same
-anchors wherever it stands. The fingerprint is the bottom-`size` sketch of the anchors' hashes (8 hex digits each, ascending); the likeness
-of two is the bottom-sketch estimate of the Jaccard index of their anchor sets.
-
-Words are split at ASCII white space after lower-casing. A text of fewer than k words, or of which no k-mer is chosen, is one anchor; one without words has the empty
-fingerprint, whose likeness to another empty one is 1 and to any other 0. Null texts are empty texts.
+The symbols are characters, A-Z lower-cased. A k-mer is `k` characters in a row, its inner substrings are the s-mers of `s` characters in it.
+A k-mer is chosen when the smallest s-mer hash in it lies at its first or last place. The choice looks at nothing outside the k-mer, so a
+passage gives the same anchors wherever it stands. The fingerprint is all anchors in order of position: 8 hex digits of the position (from 0)
+and 8 of the k-mer's hash each. Two fingerprints are matched by hash and relative position: the likeness is the Jaccard index of their sets of
+(anchor's hash, next anchor's hash, distance between the two), so a shared passage is seen wherever it stands.
+
+Hashes of s-mers and least values of windows are made by doubling: s and k-s-1 are powers of two. A text of which no k-mer is chosen is one
+anchor, the hash of the whole; an empty text has the empty fingerprint, whose likeness to another empty one is 1 and to any other 0. Null
+texts are empty texts.
+
+The edited text is the document without its last quarter, and as many characters of the next document's beginning. Its anchors are those of
+the two that lie within the parts, and those of the few characters where they meet.
 Rows with one doc_id more than once: each row is fingerprinted; as "next document" the row with the smallest text stands for the id. The row
 after a null id is that of the smallest id. A table whose only id is a document's own has that document as its next one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from .common import materialize, partitions
-
-
-def with_sketch(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2, size: int = 64) -> DataFrame:
-    """Add column `out`: the ascending distinct 32-bit anchors (array<bigint>) of a text column."""
-    w, g, a = f"{out}_w", f"{out}_g", f"{out}_a"
-    inner = k - s  # index of the last s-mer in a k-mer
-    words = F.filter(F.split(F.lower(F.col(text)), "[ \\t-\\r]+"), lambda x: x != "")
-    df = df.withColumn(w, words)
-    smer = lambda x, i: F.xxhash64(x, *[F.get(F.col(w), i + j) for j in range(1, s)])
-    df = df.withColumn(g, F.transform(F.col(w), smer))
-    edge = lambda x, i: F.least(x, F.get(F.col(g), i + inner)) <= F.least(*[F.get(F.col(g), i + j) for j in range(1, inner)])
-    kmer = lambda x, i: F.when((i < F.size(g) - (k - 1)) & edge(x, i), F.xxhash64(x, *[F.get(F.col(g), i + j) for j in range(1, inner + 1)]))
-    df = df.withColumn(a, F.when(F.size(w) >= k, F.transform(F.col(g), kmer)).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>")))
-    chosen = F.array_compact(F.col(a))
-    chosen = F.when((F.size(chosen) == 0) & (F.size(w) > 0), F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(chosen)  # a short text may have no closed k-mer
-    low = F.array_distinct(F.transform(chosen, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
-    return df.withColumn(out, F.slice(F.array_sort(low), 1, size)).drop(w, g, a)
-
-
-def digits(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
-
-
-def likeness(a: Column, b: Column, size: int = 64) -> Column:
-    """Bottom-sketch estimate of the Jaccard index."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b))).cast("double")
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(union))
+import string
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def next_ids(ids: DataFrame) -> tuple[DataFrame, object]:
-    """ids: distinct non-null doc_id. Returns (doc_id, next_id) in ascending order, the last followed by the first, and the first id.
+from .common import partitions
 
-    Ids are range-sorted; only each range's first id meets the driver."""
-    spark = ids.sparkSession
-    dealt = materialize(ids.repartitionByRange(partitions(spark), "doc_id").withColumn("part", F.spark_partition_id()), "ids")
-    firsts = sorted((r.part, r.low) for r in dealt.groupBy("part").agg(F.min("doc_id").alias("low")).collect())
-    follow = [(part, firsts[(i + 1) % len(firsts)][1]) for i, (part, _) in enumerate(firsts)]
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    after = F.broadcast(spark.createDataFrame(follow, f"part int, after {kind}").coalesce(1))
-    following = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
-    return dealt.withColumn("lead", following).join(after, "part").select("doc_id", F.coalesce("lead", "after").alias("next_id")), firsts[0][1] if firsts else None
+LOW = 0xFFFFFFFF
 
 
-def fingerprint_pairs(docs: DataFrame, k: int = 5, s: int = 2, size: int = 64) -> DataFrame:
+def with_anchors(df: DataFrame, text: str, out: str, k: int = 25, s: int = 8) -> DataFrame:
+    """Add column `out`: the closed syncmers of a text column, ascending (array<bigint>, position in the upper and hash in the lower half)."""
+    inner = k - s  # index of the last s-mer in a k-mer
+    if s & (s - 1) or inner < 2 or (inner - 1) & (inner - 2):
+        raise ValueError("s and k - s - 1 must be powers of two")
+    h, m = f"{out}_h", f"{out}_m"
+    chars = F.split(F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase), "")
+    df = df.withColumn(h, F.transform(chars, lambda c: F.xxhash64(c)))
+    n = 1
+    while n < s:
+        df = df.withColumn(h, F.transform(F.col(h), lambda x, i: F.xxhash64(x, F.get(F.col(h), i + n))))
+        n *= 2
+    df, n = df.withColumn(m, F.col(h)), 1
+    while n < inner - 1:
+        df = df.withColumn(m, F.transform(F.col(m), lambda x, i: F.least(x, F.get(F.col(m), i + n))))
+        n *= 2
+    at = lambda i: F.get(F.col(h), i)
+    kmer = lambda i: F.shiftleft(i.cast("long"), 32).bitwiseOR(F.xxhash64(*[at(i + j) for j in (0, *range(s, inner, s), inner)]).bitwiseAND(F.lit(LOW)))
+    # Runs over m, shifted by one: a column that a lambda reads only once would be put into it and made again for each element.
+    chosen = lambda x, j: F.when((j > 0) & (j <= F.size(h) - k + 1) & (F.least(at(j - 1), at(j - 1 + inner)) <= x), kmer(j - 1))
+    return df.withColumn(out, F.array_compact(F.transform(F.col(m), chosen))).drop(h, m)
+
+
+def anchored(anchors: str, text: str) -> Column:
+    """The anchors, or the hash of the whole text where there are none."""
+    whole = F.xxhash64(F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)).bitwiseAND(F.lit(LOW))
+    return F.when((F.size(anchors) == 0) & (F.length(text) > 0), F.array(whole)).otherwise(F.col(anchors))
+
+
+def digits(anchors: str) -> Column:
+    return F.array_join(F.transform(anchors, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+
+
+def steps(anchors: str) -> Column:
+    """The distinct (hash, next hash, distance) of an anchor array; the last anchor has its hash only."""
+    place = lambda x: F.shiftright(x, 32)
+    after = lambda i: F.get(F.col(anchors), i + 1)
+    return F.array_distinct(F.transform(anchors, lambda x, i: F.xxhash64(x.bitwiseAND(F.lit(LOW)), after(i).bitwiseAND(F.lit(LOW)), place(after(i)) - place(x))))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard index of two arrays of distinct values."""
+    both = F.size(F.array_intersect(a, b)).cast("double")
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def with_next(base: DataFrame) -> DataFrame:
+    """base (doc_id, text) with next_text: the smallest text of the next doc_id in ascending order, the last followed by the first.
+
+    Rows are dealt by ranges of ids; only each range's first id and text meet the driver."""
+    spark, kind = base.sparkSession, base.schema["doc_id"].dataType.simpleString()
+    count = 4 * partitions(spark)
+    dealt = base.select("doc_id").where("doc_id is not null").repartitionByRange(count, "doc_id")
+    lows = sorted(r.low for r in dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("low")).collect())
+    if not lows:
+        return base.withColumn("next_text", F.lit(""))
+    firsts = spark.createDataFrame([(x,) for x in lows], f"low {kind}").coalesce(1)
+    texts = {r.low: r.text for r in base.join(F.broadcast(firsts), F.col("doc_id") == F.col("low")).groupBy("low").agg(F.min("text").alias("text")).collect()}
+    after = [(i + 1, texts[lows[(i + 1) % len(lows)]]) for i in range(len(lows))] + [(-i, texts[lows[0]]) for i in range(count)]
+    bounds = F.array(*[F.lit(x).cast(kind) for x in lows])
+    part = F.when(F.col("doc_id").isNull(), -F.pmod(F.xxhash64("text"), F.lit(count))).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))))
+    order = Window.partitionBy("part").orderBy("doc_id", "text")
+    rows = base.withColumn("part", part.cast("int")).withColumn("lead_id", F.lead("doc_id").over(order)).withColumn("lead_text", F.lead("text").over(order))
+    rows = rows.withColumn("following", F.max(F.when(F.col("lead_id") != F.col("doc_id"), F.col("lead_text"))).over(Window.partitionBy("part", "doc_id")))
+    ends = F.broadcast(spark.createDataFrame(after, "part int, after string").coalesce(1))
+    return rows.join(ends, "part").select("doc_id", "text", F.coalesce("following", "after").alias("next_text"))
+
+
+def fingerprint_pairs(docs: DataFrame, k: int = 25, s: int = 8) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = materialize(base.groupBy("doc_id", F.length("text").alias("n")).agg(F.count("*").alias("copies")), "lengths")
-    repeated = not ids.groupBy("doc_id").agg(F.sum("copies").alias("c")).where("c > 1").isEmpty()
-    order, first = next_ids(ids.select("doc_id").where("doc_id is not null").distinct())
-    own = with_sketch(base, "text", "sketch", k, s, size)
-    wanted = ids.join(order, "doc_id", "left").select(F.col("doc_id").alias("for_id"), F.col("n").alias("for_n"), F.coalesce("next_id", F.lit(first).cast(kind)).alias("next_id"))
-    if repeated:
-        single = own.groupBy("doc_id").agg(F.min(F.struct("text", "sketch")).alias("x")).select(F.col("doc_id").alias("nid"), F.col("x.text").alias("next_text"), F.col("x.sketch").alias("next_sketch"))
-    else:
-        single = own.select(F.col("doc_id").alias("nid"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    head = F.coalesce(F.substring("next_text", F.lit(1), F.floor(F.col("for_n") / 4).cast("int")), F.lit("")).alias("head")
-    heads = wanted.join(single, F.col("next_id") == F.col("nid"), "left").select("for_id", "for_n", head, "next_sketch")
-    same = own.doc_id.eqNullSafe(heads.for_id)
-    joined = own.join(heads, same & (F.length(own.text) == heads.for_n) if repeated else same, "left")
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     n = F.length("text")
-    edited = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), F.coalesce("head", F.lit(""))))
-    edited = with_sketch(edited, "edited", "edited_sketch", k, s, size)
-    none = F.array().cast("array<bigint>")
-    return edited.select(
+    rows = rows.withColumn("cut", (n - F.floor(n / 4)).cast("int"))
+    rows = rows.withColumn("kept", F.substring("text", F.lit(1), F.col("cut"))).withColumn("head", F.substring("next_text", F.lit(1), n - F.col("cut")))
+    rows = rows.withColumn("edited", F.concat("kept", "head")).withColumn("taken", F.length("head")).withColumn("from", F.greatest(F.col("cut") - (k - 1), F.lit(0)))
+    rows = rows.withColumn("seam", F.concat(F.substring("kept", F.col("from") + 1, F.lit(k - 1)), F.substring("head", 1, k - 1)))
+    for text, out in (("text", "a"), ("next_text", "b"), ("seam", "c")):
+        rows = with_anchors(rows, text, out, k, s)
+    within = lambda anchors, end: F.filter(anchors, lambda x: (end >= k) & (F.shiftright(x, 32) <= end - k))
+    moved = lambda anchors, by: F.transform(anchors, lambda x: x + F.shiftleft(F.col(by).cast("long"), 32))
+    rows = rows.withColumn("d", F.concat(within("a", F.col("cut")), moved("c", "from"), moved(within("b", F.col("taken")), "cut")))
+    for text, out in (("text", "a"), ("next_text", "b"), ("edited", "d")):
+        rows = rows.withColumn(out, anchored(out, text)).withColumn(f"{out}_steps", steps(out))
+    return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digits("sketch").alias("fingerprint"),
-        digits("edited_sketch").alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch"), size).alias("near_edited"),
-        likeness(F.col("sketch"), F.coalesce("next_sketch", none), size).alias("near_next"),
+        digits("a").alias("fingerprint"),
+        digits("d").alias("edited_fingerprint"),
+        likeness(F.col("a_steps"), F.col("d_steps")).alias("near_edited"),
+        likeness(F.col("a_steps"), F.col("b_steps")).alias("near_next"),
     )

@@ -394,6 +394,31 @@ def test_syncmers(spark, docs, empty):
     assert syncmers.fingerprint_pairs(empty).count() == 0
 
 
+def test_syncmers_are_characters_with_places(spark):
+    rand = random.Random(17)
+    passage = "".join(rand.choices("日本語文字列検索", k=120))
+    noise = lambda n: "".join(rand.choices("あいうえおかきくけこ", k=n))
+    texts = [noise(7000) + passage + noise(3000), noise(50) + passage + noise(4000), TEXT(80), TEXT(80), None, "ab", "Ab", noise(24), noise(25)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "another text of three"), (3, texts[3]), (None, TEXT(40)), (None, "")]
+    got = syncmers.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_id = {r.doc_id: r for r in got if r.doc_id not in (None, 3)}
+    cut = lambda x: {int(x[i : i + 8], 16): x[i + 8 : i + 16] for i in range(0, len(x), 16)}
+    import hashlib
+
+    smallest = {i: min((t or "") for j, t in rows if j == i) for i in range(len(texts))}
+    edits = {i: (t or "")[: len(t or "") - len(t or "") // 4] + smallest[(i + 1) % len(texts)][: len(t or "") // 4] for i, t in enumerate(texts) if i != 3}
+    assert all(by_id[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() for i, e in edits.items())
+    for i, r in by_id.items():  # the edited text's anchors, put together, are those of the text itself
+        assert len(cut(r.fingerprint)) * 16 == len(r.fingerprint) and list(cut(r.fingerprint)) == sorted(cut(r.fingerprint))
+    whole = syncmers.fingerprint_pairs(spark.createDataFrame(list(edits.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fingerprint for r in whole} == {i: by_id[i].edited_fingerprint for i in edits}
+    a, b = cut(by_id[0].fingerprint), cut(by_id[1].fingerprint)
+    assert len(a) > 600 and 0 < by_id[0].near_next < 0.1  # a passage of 120 characters in 10,000, at another place
+    shared = [(p, q) for p, x in a.items() for q, y in b.items() if x == y]
+    assert len(shared) > 4 and {p - q for p, q in shared} == {6950}
+    assert by_id[5].fingerprint == by_id[6].fingerprint != "" and by_id[4].fingerprint == "" and by_id[5].near_next == 1 and by_id[4].near_next == 0
+    assert len([r for r in got if r.doc_id == 3]) == 3 and len([r for r in got if r.doc_id is None]) == 2
+
 def test_short_texts_have_an_anchor(spark):
     rand = random.Random(5)
     rows = [(i, " ".join(f"w{rand.randrange(10**6)}" for _ in range(5 + i % 2))) for i in range(40)]
