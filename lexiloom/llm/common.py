@@ -42,6 +42,15 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let no Arrow batch that goes to Python exceed `most` bytes, where the session allows more. Rows of packed arrays are large, and a batch
+    is held on both sides of the socket. The setting stays for the session: it is read when the result is computed."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

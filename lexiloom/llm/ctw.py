@@ -28,9 +28,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_bytes, id_fold, materialize, partitions, pieces
+from .common import batch_bytes, bound_batches, id_fold, materialize, partitions, pieces
 
 DEPTH = 5
+#: Training text for each part of the model, where that is more than 64 parts and no more than 4096.
+PART_BYTES = 16_000_000
 _PAD = b"\n" * DEPTH
 #: The end token; no word holds this byte.
 END = b"\n"
@@ -342,7 +344,8 @@ def fit(train: DataFrame) -> tuple[DataFrame, dict, int, int, int]:
 
     Rows of the table: a part of the tree (kind 0: strings, logs, nodes, logits) or of the tokens (kind 1: hashes, counts)."""
     spark = train.sparkSession
-    spread = max(64, partitions(spark))
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    spread = max(64, partitions(spark), min(4096, size // PART_BYTES))
     counted = _count(train, spread).repartition(partitions(spark), "part").sortWithinPartitions("part", "kind")
     parts = materialize(counted.mapInArrow(_merged, _COUNTS + ", n_keys long, total long"), "ctw-counts")
     tree = parts.where("kind = 0").select("part", "keys", "counts")
@@ -457,8 +460,10 @@ def _answered(model: DataFrame, asked: DataFrame, top: dict) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, folds: int = 10, chunk_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows with remainder 0 are held out of fitting."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row; rows with remainder 0 are held
+    out of fitting. bits_per_byte: the code length of the lower-cased words, the blanks between them and the end, over their n_bytes."""
     spark = docs.sparkSession
+    bound_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     model, top, spread, tokens, distinct = fit(docs.where(id_fold("doc_id", folds) != 0))
@@ -488,7 +493,11 @@ def score_documents(docs: DataFrame, folds: int = 10, chunk_bytes: int = 16_000_
                     start += 1
                     continue
                 if tables is None:
-                    tables = [Lookup(np.frombuffer(b"".join(k for k, _ in a), np.int64), np.frombuffer(b"".join(v for _, v in a), t)) for a, t in zip(answers, (np.float32, np.int64))]
+                    tables = []
+                    for t in (np.float32, np.int64):
+                        own = answers.pop(0)
+                        tables.append(Lookup(np.concatenate([np.frombuffer(k, np.int64) for k, _ in own]), np.concatenate([np.frombuffer(v, t) for _, v in own])))
+                        del own
                     answers = [[], []]
                 end = start
                 while end < len(kinds) and chunks[end] == now:
@@ -506,9 +515,10 @@ def score_documents(docs: DataFrame, folds: int = 10, chunk_bytes: int = 16_000_
                     counted[s:e] = lengths
                     known[s:e] = np.add.reduceat((counts > 0).astype(np.int64)[ids], starts)
                     plain[s:e] = np.add.reduceat(np.log10(counts + 0.1)[ids], starts) - lengths * base
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(counted), pa.array(known), pa.array(plain), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(counted), pa.array(known), pa.array(plain), pa.array(score), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
                 start = end
 
     dealt = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind")
-    out = dealt.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", (id_fold("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = dealt.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
+    return out.select("doc_id", (id_fold("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))
