@@ -8,10 +8,11 @@ Range sorting deals only (row, key, length); ties in the key are split by row, s
 Each range partition numbers its tokens from 0; the partitions' sums (one number each) give the offsets. Token ids move once, by row.
 
 Tokens: tiktoken with the ranks of the byte-level BPE vocabulary, which gives the ids of tokenizers' file of that vocabulary. Without two
-neighbouring white-space characters no token crosses a blank, so such texts are looked up blank by blank in a cache; others go whole. Strings
-of special tokens are ordinary text. Each document ends with id 0.
+neighbouring white-space characters no token crosses a blank, so such texts are looked up blank by blank in a cache; others go whole. A
+special token's string in a text becomes its id, and the text before and after it is encoded by itself. Each document ends with id 0.
 
 Nulls: a null text is an empty one (one piece with the end id). A null doc_id is kept. Repeated rows are packed each. Empty table: no pieces.
+Very long texts are tokenized whole and cut into as many pieces as they fill. Other columns of docs are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,13 +31,17 @@ from .secrets import load_encoder
 
 DIMENSIONS, GRID_BITS = 4, 8
 _DOUBLE = re.compile(r"\s\s")
+#: The vocabulary's added tokens.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 class Tokens:
     """Text to little-endian 16-bit ids."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache_size: int = 300_000):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] = SPECIAL, cache_size: int = 300_000):
         encode = load_encoder(ranks_path, pattern).encode_ordinary
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special_ids = {t: np.array([i], "<u2").tobytes() for t, i in special.items()}
 
         class Cache(dict):
             def __missing__(self, piece: str) -> bytes:
@@ -51,6 +56,11 @@ class Tokens:
         self.encode = encode
 
     def ids(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return b"".join(self.special_ids[x] if x in self.special_ids else self.ordinary(x) for x in self.special.split(text))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         if _DOUBLE.search(text):
             return np.array(self.encode(text), "<u2").tobytes()
         first, *rest = text.split(" ")
@@ -105,13 +115,13 @@ def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
     return hilbert_key(cells, GRID_BITS)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 0, special: dict[str, int] = SPECIAL) -> DataFrame:
     """Pieces of all rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (array<int>)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, signs, end = Tokens(ranks_path, pattern), projection(1 << 16), np.array([end_id], "<u2").tobytes()
+        tokens, signs, end = Tokens(ranks_path, pattern, special), projection(1 << 16), np.array([end_id], "<u2").tobytes()
         for batch in batches:
             ids, start = [], 0
             texts = batch.column("text").to_pylist()

@@ -17,7 +17,7 @@ R = random.Random(3)
 VOCABULARY = ["the", "of", "éta", "ing", "tion", "ß", "quo", "xy", "and", "Zu"]
 TEXT = lambda n: " ".join(R.choice(VOCABULARY) + R.choice(VOCABULARY) for _ in range(n))
 LONG = TEXT(60)
-TEXTS = [None, "", "  \n\t", "one", LONG, LONG, LONG + " tail", "\n".join([TEXT(12), LONG, TEXT(9)]), "x" * 5000, "a\n\n  b <|endoftext|>", TEXT(3000)] + [TEXT(30) for _ in range(10)]
+TEXTS = [None, "", "  \n\t", "one", LONG, LONG, LONG + " tail", "\n".join([TEXT(12), LONG, TEXT(9)]), "x" * 5000, "a\n\n  b <|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>  c", TEXT(3000)] + [TEXT(30) for _ in range(10)]
 
 
 @pytest.fixture(scope="module")
@@ -156,7 +156,6 @@ def test_large_buckets_are_dealt_again(spark):
 def test_packing_round_trip(docs):
     rows = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 64).collect()
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = sorted((tok.encode(t or "", add_special_tokens=False).ids + [0] for t in [*TEXTS, "null id text", LONG]), key=str)
     seen, sequences = {}, {}
     for r in rows:
@@ -195,6 +194,9 @@ def test_contamination_equals_brute_force(spark, docs):
                             found.add(str(item))
             r = got[doc, len(words)]
             assert (r.n_hit, r.items, r.contaminated) == (len(hit), sorted(found), bool(hit))
+    clashing = docs.select("*", *[F.lit(1).alias(c) for c in ("at", "len", "item", "own", "_lx_at")])
+    assert decontaminate.drop_contaminated(clashing, bench).columns == clashing.columns
+    assert decontaminate.drop_contaminated(docs.select("text"), bench).columns == ["text"]
     clean = decontaminate.drop_contaminated(docs, bench)
     assert clean.columns == docs.columns and 4 not in {r.doc_id for r in clean.collect()} and 3 in {r.doc_id for r in clean.collect()}
 
@@ -205,7 +207,31 @@ def test_secrets(spark):
     a, b = secrets.scan_secrets(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).orderBy("doc_id").collect()
     assert (a.n_assign, a.n_access, a.n_hex, a.n_random) == (1, 1, 1, 1) and a.spans.startswith("assign:2:")
     assert b.spans == "" and text[int(a.spans.split(",")[-1].split(":")[1]) :].startswith("zQ9")
-    assert secrets.is_digest("d" * 40) and secrets.is_identifier("some_long-name_2024")
+    assert secrets.is_digest("d" * 40) and secrets.is_identifier("some_long-name_2024") and not secrets.is_identifier("zzqkvbxwpltmgjhrcnds")
+
+
+def test_planted_random_strings_are_found(spark):
+    """Base spans as the patterns say, and of planted random strings (letters only among them) nearly all; words and identifiers stay."""
+    import string
+
+    rand, planted = random.Random(77), []
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"):
+        planted += [(letters, "".join(rand.choices(letters, k=rand.randint(20, 48)))) for _ in range(60)]
+    clean = "internationalization getUserAccountSettingsController some_really_long_identifier_name MAX_RETRY_COUNT_EXCEEDED 12345678901234567890123 -------------------------- antidisestablishmentarianism 550e8400-e29b-41d4-a716-446655440000"
+    rows = [(i, f"é {LONG} {x} {clean}", "clash", 1) for i, (_, x) in enumerate(planted)] + [(900, clean, "c", 1), (900, clean, "c", 1), (901, None, "c", 1), (902, "x " * 60_000 + planted[0][1], "c", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")
+    got = secrets.scan_secrets(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    found = {}
+    for r in got:
+        text = {i: t for i, t, *_ in rows}[r.doc_id] or ""
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        base = sorted([(m.start(), k, kind, m.end()) for k, (kind, m) in enumerate((kind, m) for kind, pattern, least in (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)) for m in re.finditer(pattern, text) if len(m[m.lastindex or 0]) >= least)])
+        assert [(kind, s, e) for kind, s, e in spans if kind != "random"] == [(kind, str(s), str(e)) for s, _, kind, e in base]
+        found[r.doc_id] = {text[int(s) : int(e)] for kind, s, e in spans if kind == "random"}
+    assert found[900] == found[901] == set() and found[902] == {planted[0][1]} and len(got) == len(rows)
+    hits = [x in found[i] or any(x == "".join(f) for f in found[i]) for i, (_, x) in enumerate(planted)]
+    assert np.mean(hits) > 0.95 and all(found[i] <= {x} for i, (_, x) in enumerate(planted))
+    assert secrets.scan_secrets(df.where("false"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
 def test_language_profiles(spark):
@@ -441,3 +467,16 @@ def test_empty_tables(spark, empty, docs):
     assert linededup.dedup_lines(empty).count() == 0 and langid.train_profiles(langid.learned_rows(empty)) == []
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench).where("contaminated").isEmpty()
+
+
+def test_queries_equal_sql(spark):
+    import duckdb
+
+    from lexiloom.llm.queries import ORACLE_SQL, QUERIES
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        got, want = QUERIES[name](spark, sf).toPandas(), db.sql(sql).df()
+        assert sorted(map(str, got[sorted(got.columns)].itertuples(index=False))) == sorted(map(str, want[sorted(want.columns)].itertuples(index=False))) and len(got)
