@@ -9,7 +9,8 @@ The windows are read in pieces of at most `block_windows`; each piece is broadca
 over the rows, chained without a shuffle, so a benchmark of any size is searched whole.
 
 Nulls: a null text has no words (n_words 0, not contaminated). A null item text has no windows; a null item_id is written as "null".
-Repeated rows are each judged. Empty benchmark: nothing is hit. Columns other than those named are passed over, or kept by drop_contaminated.
+Repeated rows are each judged. Empty benchmark: nothing is hit; empty docs: an empty result. Very long texts are searched whole. Columns other
+than those named are passed over, or kept by drop_contaminated, whatever their names: they travel in one struct.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import batch_bytes, pieces
 
@@ -102,20 +103,20 @@ def _covered(spans: list[int], lengths: list[int]) -> int:
     return total
 
 
-_STATE = pa.schema([("_lx_at", pa.list_(pa.int32())), ("_lx_len", pa.list_(pa.int32())), ("_lx_item", pa.list_(pa.string()))])
+_STATE = {"at": ("array<int>", pa.list_(pa.int32())), "len": ("array<int>", pa.list_(pa.int32())), "item": ("array<string>", pa.list_(pa.string()))}
 
 
-def _search_pass(rows: DataFrame, searches, names: list[str]) -> DataFrame:
-    """Add one piece's hits to the state columns of rows (made where missing)."""
-    fresh = "_lx_at" not in rows.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in _STATE.names) + ", _lx_at array<int>, _lx_len array<int>, _lx_item array<string>"
+def _search_pass(rows: DataFrame, searches) -> DataFrame:
+    """rows: (text, own) and, from the second pass on, at, len and item; one piece's hits are added to these three."""
+    fresh = "at" not in rows.columns
+    ddl = f"text string, own {rows.schema['own'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, (t, _) in _STATE.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = build(searches.value) if searches.value else []
         for batch in pieces(batches):
             texts = batch_bytes(batch.column("text"))
             empty = [[] for _ in texts]
-            state = [empty, empty, empty] if fresh else [batch.column(c).to_pylist() for c in _STATE.names]
+            state = [empty, empty, empty] if fresh else [batch.column(c).to_pylist() for c in _STATE]
             out: tuple[list, list, list] = ([], [], [])
             for i, text in enumerate(texts):
                 at, length, item = (list(s[i]) for s in state)
@@ -128,18 +129,18 @@ def _search_pass(rows: DataFrame, searches, names: list[str]) -> DataFrame:
                         found.update(items)
                 for o, x in zip(out, (at, length, sorted(found))):
                     o.append(x)
-            kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(o, t) for o, t in zip(out, _STATE.types))], [*names, *_STATE.names])
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("own"), *(pa.array(o, t) for o, (_, t) in zip(out, _STATE.values()))], ["text", "own", *_STATE])
 
     return rows.mapInArrow(run, ddl)
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> DataFrame:
-    spark: SparkSession = docs.sparkSession
-    rows, names, any_piece = docs, docs.columns, False
+def _hits(rows: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> DataFrame:
+    """rows: (text, own), own being whatever the caller wants to see again."""
+    spark: SparkSession = rows.sparkSession
+    searched = None
     for piece in window_pieces(benchmark, width, block_windows):
-        rows, any_piece = _search_pass(rows, spark.sparkContext.broadcast(piece), names), True
-    return rows if any_piece else _search_pass(rows, spark.sparkContext.broadcast({}), names)
+        searched = _search_pass(rows if searched is None else searched, spark.sparkContext.broadcast(piece))
+    return searched if searched is not None else _search_pass(rows, spark.sparkContext.broadcast({}))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 100_000) -> DataFrame:
@@ -148,10 +149,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            at, length, item = (batch.column(c).to_pylist() for c in _STATE.names)
+            at, length, item = (batch.column(c).to_pylist() for c in _STATE)
             hit = [_covered(a, n) for a, n in zip(at, length)]
             cols = [
-                batch.column("doc_id"),
+                batch.column("own"),
                 pa.array([len(words_of(t)) for t in batch_bytes(batch.column("text"))], pa.int64()),
                 pa.array(hit, pa.int64()),
                 pa.array([len(x) for x in item], pa.int64()),
@@ -161,10 +162,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
             ]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
 
-    return _hits(docs.select("doc_id", "text"), benchmark, width, block_windows).mapInArrow(finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
+    return _hits(docs.select("text", F.col("doc_id").alias("own")), benchmark, width, block_windows).mapInArrow(finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 100_000) -> DataFrame:
     """Rows of docs in which no window occurs; columns unchanged, nothing is shuffled."""
-    found = _hits(docs, benchmark, width, block_windows)
-    return found.where("size(_lx_at) = 0").select(*[f"`{c}`" for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
+    found = _hits(docs.select("text", F.struct(*others).alias("own")), benchmark, width, block_windows)
+    return found.where("size(at) = 0").select(*["text" if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns])
