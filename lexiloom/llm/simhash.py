@@ -7,14 +7,15 @@ every pair within the radius meets in a bucket, without exception.
 
 Equal fingerprints are merged before the search, so a group of copies of any size is one row. Inside a bucket only a spanning forest of the
 links is emitted, never all pairs. Buckets above `bucket_limit` distinct fingerprints are dealt once more, by a second covering family with
-other vectors, and those above it again by a third; after three levels few bits are free, which bounds a bucket.
+other vectors, and those above it again by a third, whose buckets are solved whatever their size; each level adds some 32 bits to the key.
 
 A Jaccard index of 0.8 is about ten bits of 64 apart, for which a covering family would need thousands of tables. Where a similarity is
 asked for, minwise sketches of the same shingle hashes give further links: texts that agree in a band of six places of 120 (all but
 0.2 % of pairs at 0.8) are compared by their whole shingle sets. Each band gives a spanning forest of
 its links, so no group is expanded into pairs; the sets of a band's texts are held in one task.
 
-Nulls: a null text is an empty one, which has fingerprint zero and links like any other. A null doc_id is kept as a row; it is never a
+Nulls: a null text is an empty one, which has fingerprint zero and links like any other; an empty table gives an empty result. Very long texts
+are fingerprinted whole. A null doc_id is kept as a row; it is never a
 component's id unless no row of the component has an id. Repeated rows are kept and share a component. Other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import batch_bytes, materialize, pieces
 from .graph import connected_components
@@ -128,6 +129,13 @@ _BUCKETS = "table long, key long, fp long, rep long"
 _LINKS = "u long, v long"
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads them."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD1B54A32D192ED03)
+    return x ^ (x >> np.uint64(32))
+
+
 def _deal(masks: list[int], keyed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of every table of a covering family. keyed: the rows already have (table, key), which go on into the new table number and key."""
     for batch in batches:
@@ -138,9 +146,9 @@ def _deal(masks: list[int], keyed: bool, batches: Iterator[pa.RecordBatch]) -> I
         for n, mask in enumerate(masks):
             key = (bits & np.uint64(mask)).view(np.int64)
             number = np.full(len(fp), n, np.int64)
-            if keyed:
+            if keyed:  # a hash of both: equal old keys and masked bits stay together, and hardly any others
                 number = number + (old_table + 1) * 64
-                key = ((old_key.view(np.uint64) | (bits & np.uint64(mask))) ^ (old_key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                key = _mixed(_mixed(old_key.view(np.uint64)) + (bits & np.uint64(mask))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(key), batch.column("fp"), batch.column("rep")], ["table", "key", "fp", "rep"])
 
 
@@ -201,22 +209,32 @@ def near_links(distinct: DataFrame, radius: int = 4, bucket_limit: int = 20000)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, sketches: bool = False) -> DataFrame:
-    """(row long, doc_id, fp long) of each row, with sketches also sketch (binary; null for no words). row numbers are those of
-    monotonically_increasing_id over docs."""
+    """(row long, doc_id, h, fp long) of each row; h is a hash of the text. With sketches also sketch (binary) and sid (a hash of the shingle set),
+    both null for no words. row numbers are those of monotonically_increasing_id over docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fps, mins = [], []
+            fps, mins, sids = [], [], []
             for text in batch_bytes(batch.column("text")):
                 hashes = shingle_hashes(text, width)
                 fps.append(_signed(majority(hashes)))
                 if sketches:
                     mins.append(sketch(hashes).tobytes() if len(hashes) else None)
-            cols = [batch.column("row"), batch.column("doc_id"), pa.array(fps, pa.int64())] + ([pa.array(mins, pa.binary())] if sketches else [])
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "fp", "sketch"][: len(cols)])
+                    sids.append(_signed(xxhash.xxh3_64_intdigest(np.unique(hashes).tobytes())) if len(hashes) else None)
+            cols = [batch.column("row"), batch.column("doc_id"), batch.column("h"), pa.array(fps, pa.int64())] + ([pa.array(mins, pa.binary()), pa.array(sids, pa.int64())] if sketches else [])
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "h", "fp", "sketch", "sid"][: len(cols)])
+
+    return _numbered(docs, "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, h long, fp long" + (", sketch binary, sid long" if sketches else ""))
+
+
+def _numbered(docs: DataFrame, *columns) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), *columns)
+
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, fp long" + (", sketch binary" if sketches else ""))
+def _same(h: str, again: str, value: Column) -> Column:
+    """The value, or an error where a row's text is not the one that had its number before."""
+    return F.when(F.col(h).eqNullSafe(F.col(again)), value).otherwise(F.raise_error(F.lit("docs gave other rows when it was read again; give a stored table")))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> float:
@@ -278,35 +296,37 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
-    """rows: (row, fp, sketch) of docs. Links (u, v) between fingerprints whose sketches share a band and whose shingle sets have a Jaccard
-    index of at least `similarity`.
+    """rows: fingerprints of docs, with sketches. Links (u, v) between fingerprints: of shingle sets whose sketches share a band and whose Jaccard
+    index is at least `similarity`, and of texts with one shingle set.
 
-    A row moves as (key, fp) for each band; shingle sets are made again, and only for the fingerprints of keys that two share."""
+    A shingle set moves as (key, sid) for each band; it is made again only where two sets share a key. Its name is its smallest fingerprint."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2048):
             whole = batch.filter(batch.column("sketch").is_valid())
             mins = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), "<u4").reshape(-1, BANDS, BAND_ROWS)
             keys = [xxhash.xxh3_64_intdigest(row[n].tobytes(), n) for row in mins for n in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(whole.column("fp").to_numpy(), BANDS))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(whole.column("sid").to_numpy(), BANDS))], ["key", "sid"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [np.unique(shingle_hashes(text, width)).astype("<u8").tobytes() for text in batch_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("fp"), pa.array(sets, pa.binary())], ["sid", "fp", "shingles"])
 
-    keyed = rows.select("fp", "sketch").mapInArrow(bands, "key long, fp long").distinct()
-    order = Window.partitionBy("key").orderBy("fp")
-    shared = materialize(keyed.withColumn("before", F.lag("fp").over(order)).withColumn("after", F.lead("fp").over(order)).where("before is not null or after is not null").select("key", "fp"), "simhash-bands")
-    first = rows.where("sketch is not null").join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("sketch", "row")).alias("x")).select("fp", F.col("x.row").alias("row"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(first, "row").select("fp", "text").mapInArrow(shingles, "fp long, shingles binary")
-    dealt = shared.join(texts, "fp").withColumn("turn", F.xxhash64("key", "fp")).repartition("key").sortWithinPartitions("key", "turn", "fp")  # each key has other hubs
-    return dealt.select("key", "fp", "shingles").mapInArrow(lambda b: _similar(b, similarity), "u long, v long")
+    keyed = rows.select("sid", "sketch").mapInArrow(bands, "key long, sid long").distinct()
+    order = Window.partitionBy("key").orderBy("sid")
+    shared = materialize(keyed.withColumn("before", F.lag("sid").over(order)).withColumn("after", F.lead("sid").over(order)).where("before is not null or after is not null").select("key", "sid"), "simhash-bands")
+    named = materialize(rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("fp", "row", "h")).alias("x"), F.max("fp").alias("last")).select("sid", "x.*", "last"), "simhash-sets")
+    alike_in_all = rows.join(named.where("fp <> last").select("sid", F.col("fp").alias("v")), "sid").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+    wanted = named.join(shared.select("sid").distinct(), "sid", "left_semi").select("row", "sid", "fp", F.col("h").alias("was"))
+    texts = _numbered(docs, "text").join(wanted, "row").select("sid", "fp", _same("h", "was", F.col("text")).alias("text")).mapInArrow(shingles, "sid long, fp long, shingles binary")
+    dealt = shared.join(texts, "sid").withColumn("turn", F.xxhash64("key", "sid")).repartition("key").sortWithinPartitions("key", "turn", "sid")  # each key has other hubs
+    return dealt.select("key", "fp", "shingles").mapInArrow(lambda b: _similar(b, similarity), "u long, v long").unionByName(alike_in_all)
 
 
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, bucket_limit: int = 20000, similarity: float | None = None) -> DataFrame:
-    """(row, doc_id, fp long, fingerprint, component_id) of every row of docs. similarity: also link texts whose shingle sets are as alike as that;
-    docs is then read twice and must give its rows in the same partitions both times."""
+    """(row, doc_id, h, fp long, fingerprint, component_id) of every row of docs. similarity: also link texts whose shingle sets are as alike as that;
+    docs is then read twice and must give its rows in the same partitions both times, as a table does; where it does not, the run fails."""
     rows = materialize(fingerprints(docs, width, similarity is not None), "simhash")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     links = near_links(classes.select("fp", F.col("fp").alias("rep")), radius, bucket_limit)
@@ -317,14 +337,16 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, bucket_
     smallest = joined.groupBy("part").agg(F.min("first_id").alias("component_id"))
     named = joined.join(smallest, "part").select("fp", "component_id")
     out = rows.join(named, "fp")
-    return out.select("row", "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("row", "doc_id", "h", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """Rows of docs, one of each component: that with the smallest doc_id (null last), among repeats the first in row order. Columns unchanged.
 
-    docs is read more than once and must give its rows in the same partitions each time, as a table does."""
+    docs is read more than once and must give its rows in the same partitions each time, as a table does; where it does not, the run fails."""
     found = simhash_components(docs, width, radius, similarity=similarity)
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_lx_row"))
-    packed = docs.select(F.struct("*").alias("_lx"), F.monotonically_increasing_id().alias("_lx_row"))
-    return packed.join(kept, "_lx_row", "left_semi").select("_lx.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
+    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(first).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    flagged = found.select("row", F.col("h").alias("was")).join(kept, "row", "left")
+    packed = _numbered(docs, F.struct("*").alias("own"))
+    return packed.join(flagged, "row", "left").where(_same("h", "was", F.coalesce("stays", F.lit(False)))).select("own.*")

@@ -102,6 +102,21 @@ def test_similarity_limit_is_exact(spark):
     assert len(kept & set(range(1, 120, 2))) <= 2  # what the bands miss: 0.2 % of pairs
 
 
+def test_texts_of_one_fingerprint_keep_their_own_links(spark, monkeypatch):
+    """All texts get one fingerprint of few; what is alike by shingles must be found all the same."""
+    rand, rows = random.Random(41), []
+    for _ in range(40):
+        rows += [(len(rows) + i, t) for i, t in enumerate(_pair(rand, 180, 10))]
+    rows += [(100, " ".join(rows[0][1].split() * 2))]  # the same shingles and a few more at the seam
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = simhash.fingerprints
+    few = lambda *a, **k: plain(*a, **k).withColumn("fp", F.pmod(F.col("fp"), F.lit(3)) * F.lit(0x0F0F0F0F0F0F0F0F))
+    monkeypatch.setattr(simhash, "fingerprints", few)
+    found = simhash.simhash_components(docs, 5, 0, similarity=0.8)
+    rows_ = {(r.doc_id): r for r in found.collect()}
+    assert len({r.fp for r in rows_.values()}) == 3 and all(rows_[i].component_id == rows_[i + 1].component_id for i in range(0, 80, 2))
+
+
 def test_forest_of_a_band_spans_all_links():
     rand = random.Random(31)
     for _ in range(40):
@@ -129,6 +144,14 @@ def test_forest_of_a_band_spans_all_links():
         assert part(want) == part(got)
 
 
+def test_other_rows_on_a_second_read_fail(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(40).selectExpr("id as doc_id", "concat('some text number ', id) as text").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path).select("doc_id", "text").withColumn("text", F.concat("text", F.lit(" "), F.udf(lambda: str(random.SystemRandom().random())).asNondeterministic()()))
+    with pytest.raises(Exception, match="other rows"):
+        simhash.keep_one(docs, width=5, similarity=0.8).collect()
+
+
 def test_covering_masks_meet_every_pair():
     masks = simhash.covering_masks(4)
     for places in [R.sample(range(64), 4) for _ in range(3000)]:
