@@ -2,15 +2,17 @@
 
 URLs that a rule decides train the models: one for accepted, one for rejected. Each is a variable-order Markov model over a fixed alphabet of
 64 symbols: the probability of a symbol after two others is the Witten-Bell mixture of orders 2, 1 and 0 over a uniform floor. A URL's score is the
-mean over its symbols of log(accepted / rejected); it is blocked below a threshold that best separates the training URLs (the mean of the two
-class rates of errors, over a histogram of scores, is least there; ties: nearest to zero).
+mean over its symbols of log(accepted / rejected); it is blocked below a threshold that best separates URLs kept from the models' training, a
+fifth of those that a rule decides, by hash (the mean of the two class rates of errors, over a histogram of scores, is least there; ties:
+nearest to zero; zero where that fifth lacks a class).
 
 The model is one array of 64^3 log ratios (2 MB at most, whatever the input), made by aggregations of at most 64^3 groups a class and read
 as a scalar; scoring is an expression over the URL's own symbols, without a join or shuffle.
 
 Rules: a rule fits its host and all subdomains if the path starts with the rule's path; the longest rule (host and path together) wins.
 Null URLs and URLs without "://" have empty host and path, no rule, and the method's verdict on the text that there is. Without URLs of both
-kinds to learn from, the ratio is 0 for all and what no rule decides is allowed. Repeated rows are each judged; other columns are ignored.
+kinds to learn from, the ratio is 0 for all and what no rule decides is allowed. Repeated rows are each judged; an empty table gives an empty
+result; very long URLs are scored whole. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def best_threshold(histogram: list[tuple[int, int, int]], width: float) -> float
     """histogram: (bin, accepted, rejected). The lower edge of a bin below which blocking makes the least mean error rate."""
     accepted, rejected = sum(x[1] for x in histogram), sum(x[2] for x in histogram)
     if not accepted or not rejected:
-        return float("-inf")
+        return 0.0
     lost, best = [0, 0], []
     for bin_, a, r in sorted(histogram):
         best.append((lost[0] / accepted + 1 - lost[1] / rejected, abs(bin_ * width), bin_ * width))
@@ -108,10 +110,11 @@ def judge_urls(pages: DataFrame, rules=RULES, bin_width: float = 0.005) -> DataF
     # Written once: it is read three times, and the scalar model folds only into an expression whose other inputs are stored columns.
     coded = materialize(coded.select("page_id", "host", "path", "rule", "ruled", triples("syms").alias("codes")), "url-codes")
     labelled = coded.where("ruled is not null").select(F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("cls"), "codes")
-    counts = materialize(labelled.select("cls", F.explode("codes").alias("code")).groupBy("cls", "code").agg(F.count("*").alias("n")), "url-counts")
+    kept = F.pmod(F.xxhash64("codes"), F.lit(5)) == 0
+    counts = materialize(labelled.where(~kept).select("cls", F.explode("codes").alias("code")).groupBy("cls", "code").agg(F.count("*").alias("n")), "url-counts")
     both = counts.agg(F.countDistinct("cls")).first()[0] == 2
     model = materialize(log_ratios(spark, counts), "url-model")
-    bins = with_score(labelled, model).select("cls", F.floor(F.col("score") / bin_width).cast("int").alias("bin")).groupBy("bin").agg(F.sum("cls").alias("a"), F.sum(1 - F.col("cls")).alias("r"))
+    bins = with_score(labelled.where(kept), model).select("cls", F.floor(F.col("score") / bin_width).cast("int").alias("bin")).groupBy("bin").agg(F.sum("cls").alias("a"), F.sum(1 - F.col("cls")).alias("r"))
     threshold = best_threshold([tuple(x) for x in bins.collect()], bin_width) if both else float("-inf")
     scored = with_score(coded, model) if both else coded.withColumn("score", F.lit(0.0))
     verdict = F.coalesce("ruled", F.when(F.col("score") < threshold, "block").otherwise("allow"))

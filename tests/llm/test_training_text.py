@@ -485,6 +485,48 @@ def test_url_rules(spark):
     assert urlfilter.judge_urls(df.where("false")).count() == 0
 
 
+def test_url_model_equals_brute_force(spark):
+    """Witten-Bell ratios, the threshold from the kept fifth, and all verdicts, by definition."""
+    from collections import Counter
+    from math import log
+
+    rand = random.Random(9)
+    word = lambda a: "".join(rand.choices(a, k=rand.randint(3, 9)))
+    urls = [f"http://{word('abcde')}.{h}{p}{word('shop' if h == 'com' else 'lean')}/{i}" for i, (h, p) in enumerate([("com", "/en/"), ("net", "/de/"), ("info", "/x/"), ("org", "/es/")] * 60)]
+    urls += ["http://Ä.info/" + word("shop"), "x" * 3000, "", urls[0], urls[2]]
+    df = spark.createDataFrame([(i, u, 1, [0]) for i, u in enumerate(urls)], "page_id long, url string, score int, codes array<int>")
+    got = {r.page_id: r for r in urlfilter.judge_urls(df).collect()}
+    number = lambda u: [63, 63] + [urlfilter.ALPHABET.find(c) + 1 for c in re.sub("[A-Z]", lambda m: m[0].lower(), u)]
+    codes = {i: [(x[j - 2] * 64 + x[j - 1]) * 64 + x[j] for j in range(2, len(x))] for i, u in enumerate(urls) for x in [number(u)]}
+    kept = {r[0] for r in spark.createDataFrame([(i, c) for i, c in codes.items()], "i long, c array<int>").where("pmod(xxhash64(c), 5) = 0").collect()}
+    cls = {i: int(r.verdict == "allow") for i, r in got.items() if r.rule}
+    n = {(k, o): Counter() for k in (0, 1) for o in (1, 2, 3)}
+    for i, k in cls.items():
+        if i not in kept:
+            for c in codes[i]:
+                for o in (1, 2, 3):
+                    n[k, o][c % 64**o] += 1
+
+    def p(k, c, o):
+        if not o:
+            return 1 / 64
+        same = [v for x, v in n[k, o].items() if x // 64 == c % 64**o // 64]
+        return (n[k, o][c % 64**o] + len(same) * p(k, c, o - 1)) / (sum(same) + len(same)) if same else p(k, c, o - 1)
+
+    memo = {}
+    ratio = lambda c: memo.setdefault(c, log(p(1, c, 3)) - log(p(0, c, 3)))
+    score = {i: sum(map(ratio, x)) / len(x) if x else 0.0 for i, x in codes.items()}
+    assert all(got[i].score == pytest.approx(score[i], abs=1e-9) for i in score)
+    best = []
+    for edge in {int(np.floor(score[i] / 0.005)) for i in cls if i in kept}:
+        side = lambda k: [np.floor(score[i] / 0.005) < edge for i in cls if i in kept and cls[i] == k]  # noqa: B023,E731
+        best.append((np.mean(side(1)) + 1 - np.mean(side(0)), abs(edge), edge))
+    limit = min(best)[2] * 0.005
+    assert all(got[i].verdict == ("block" if score[i] < limit else "allow") for i in score if i not in cls)
+    free = [i for i in range(2, 240, 4)]
+    assert np.mean([got[i].verdict == "allow" for i in free]) > 0.8 and got[len(urls) - 1].score == got[2].score
+
+
 def test_empty_tables(spark, empty, docs):
     assert simhash.simhash_components(empty).count() == 0 and packing.pack(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     assert linededup.dedup_lines(empty).count() == 0 and langid.train_profiles(langid.learned_rows(empty)) == []
