@@ -15,7 +15,8 @@ Equal lines are merged before the join by a 128-bit hash, with map-side aggregat
 Lengths and distances count characters (code points); a line of ASCII is handled as bytes.
 
 Nulls: a null text has no lines and stays null. A null doc_id sorts first. Rows with equal doc_id and text are one document and get
-equal results. A document that loses all its lines keeps an empty text here (drop_empty=True drops it). Other columns are carried through.
+equal results; rows of one doc_id with different texts come in order of a hash of the text. An empty table gives an empty result. Very long
+texts and lines are taken whole. A document that loses all its lines keeps an empty text here (drop_empty=True drops it). Other columns are carried through.
 """
 
 from __future__ import annotations
@@ -277,19 +278,21 @@ def near_line_links(docs: DataFrame, distance: int = 2, min_chars: int = 30, buc
         known = spark.sparkContext.broadcast(np.sort(np.array([r.id for r in wanted.toLocalIterator()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = set(known.value.tolist()) if known is not None else None
         seen: set[int] = set()
         for batch in pieces(batches):
             out: dict[int, bytes] = {}
             for text in batch_bytes(batch.column("text")):
                 for _, x in lines_of(text, min_chars):
-                    a, _ = _hash128(x)
-                    if (ids is None or a in ids) and a not in seen:
-                        out[a] = x
+                    out[_hash128(x)[0]] = x
+            ids = np.fromiter(out, np.int64, len(out))
+            if known is not None:
+                at = np.searchsorted(known.value, ids)
+                ids = ids[known.value[np.minimum(at, len(known.value) - 1)] == ids] if len(known.value) else ids[:0]
+            new = [i for i in ids.tolist() if i not in seen]
             if len(seen) > 500_000:
                 seen = set()
-            seen.update(out)
-            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], ["id", "text"])
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([out[i] for i in new], pa.binary())], ["id", "text"])
 
     texts = docs.select("text").mapInArrow(run, "id long, text binary")
     if known is None:
