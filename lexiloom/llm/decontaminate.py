@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_bytes, pieces
+from .common import batch_bytes, bound_batches, pieces
 
 #: Bytes to words: A-Z become a-z; bytes outside 0-9, a-z and 0x80-0xFF become separators.
 WORDS = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -137,6 +137,7 @@ def _search_pass(rows: DataFrame, searches) -> DataFrame:
 def _hits(rows: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> DataFrame:
     """rows: (text, own), own being whatever the caller wants to see again."""
     spark: SparkSession = rows.sparkSession
+    bound_batches(spark)
     searched = None
     for piece in window_pieces(benchmark, width, block_windows):
         searched = _search_pass(rows if searched is None else searched, spark.sparkContext.broadcast(piece))

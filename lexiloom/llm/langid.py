@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_fold, pieces
+from .common import bound_batches, id_fold, pieces
 
 UND = "und"
 
@@ -101,6 +101,7 @@ def _chunks(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]
 
 def train_profiles(train: DataFrame, top: int = 300, sample_per_lang: int = 4000) -> list[tuple[str, list[int]]]:
     """train: (doc_id, text, lang), lang not null. Profiles in order of language name."""
+    bound_batches(train.sparkSession)
     sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
@@ -151,6 +152,7 @@ def _judge(texts: list[str | None], profiles, table: np.ndarray, top: int, lette
 
 def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], top: int = 300) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +169,19 @@ def learned_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, profiles: list[tuple[str, list[int]]], top: int = 300, min_score: float = 0.0) -> DataFrame:
-    """Rows of docs that get a language with at least min_score; columns unchanged, nothing is shuffled. With min_score 0 only `und` goes."""
-    ddl, names = docs.schema, docs.columns
+    """Rows of docs that get a language with at least min_score; nothing is shuffled. With min_score 0 only `und` goes. Columns unchanged, but for
+    a text column lang: where it is null it takes the language found."""
+    bound_batches(docs.sparkSession)
+    ddl, fill = docs.schema, dict(docs.dtypes).get("lang") == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table = Letters(), _table(profiles, top)
         for batch in pieces(batches):
             langs, scores = _judge(batch.column("text").to_pylist(), profiles, table, top, letters)
+            if fill:
+                at = batch.schema.get_field_index("lang")
+                own = batch.column(at).to_pylist()
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([x if y is None else y for x, y in zip(langs, own)], batch.column(at).type))
             yield batch.filter(pa.array([x != UND and s >= min_score for x, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, ddl)

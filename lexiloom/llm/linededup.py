@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batch_bytes, materialize, partitions, pieces
+from .common import batch_bytes, bound_batches, materialize, partitions, pieces
 from .graph import connected_components
 
 
@@ -303,6 +303,7 @@ def near_line_links(docs: DataFrame, distance: int = 2, min_chars: int = 30, buc
 
 def removed_lines(docs: DataFrame, distance: int = 2, min_chars: int = 30) -> DataFrame:
     """(doc_id, dk, removed): the numbers of the lines to remove from each document that loses any."""
+    bound_batches(docs.sparkSession)
     seen = materialize(_occurrences(docs, min_chars), "lines")
     parts = connected_components(near_line_links(docs, distance, min_chars))
     first = F.min(F.struct("doc_id", "dk", "line"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, partitions
+from .common import bound_batches, materialize, partitions
 from .secrets import load_encoder
 
 DIMENSIONS, GRID_BITS = 4, 8
@@ -118,6 +118,7 @@ def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 0, special: dict[str, int] = SPECIAL) -> DataFrame:
     """Pieces of all rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (array<int>)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

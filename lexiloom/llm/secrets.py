@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -77,6 +77,7 @@ def load_encoder(ranks_path: str, pattern: str):
 
 def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, min_length: int = 20, max_ratio: float = 2.2, letter_ratio: float = 2.05) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans of every row. The vocabulary file must be installed on every executor."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

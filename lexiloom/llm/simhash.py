@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import batch_bytes, materialize, pieces
+from .common import batch_bytes, bound_batches, materialize, pieces
 from .graph import connected_components
 
 BITS = 64
@@ -327,6 +327,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, similarity: float, width: in
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, bucket_limit: int = 20000, similarity: float | None = None) -> DataFrame:
     """(row, doc_id, h, fp long, fingerprint, component_id) of every row of docs. similarity: also link texts whose shingle sets are as alike as that;
     docs is then read twice and must give its rows in the same partitions both times, as a table does; where it does not, the run fails."""
+    bound_batches(docs.sparkSession)
     rows = materialize(fingerprints(docs, width, similarity is not None), "simhash")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     links = near_links(classes.select("fp", F.col("fp").alias("rep")), radius, bucket_limit)

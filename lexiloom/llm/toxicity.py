@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_bytes, id_fold, pieces
+from .common import batch_bytes, bound_batches, id_fold, pieces
 
 WINDOW, STRIDE = 24, 16
 WORDS, TRIGRAMS, WIDTH, HIDDEN = 16384, 4096, 12, 8
@@ -315,6 +315,7 @@ class Scorer:
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = 3000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     documents = sample(docs, labels, max_train, folds)
     classes = [y for _, y in documents]

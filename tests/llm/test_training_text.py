@@ -265,7 +265,31 @@ def test_language_profiles(spark):
     got = {r.doc_id: r for r in langid.predict(df, profiles).collect()}
     assert all(got[i].lang_pred == k for i, _, k in rows[:-3]) and got[900].lang_pred == got[901].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in got.values())
-    assert langid.drop_unknown(df, profiles).count() == len(rows) - 2
+    kept = langid.drop_unknown(df, profiles)
+    assert kept.count() == len(rows) - 2 and kept.columns == df.columns and kept.where("doc_id = 902").first().lang == got[902].lang_pred
+    clash = langid.drop_unknown(df.where("doc_id < 5 or doc_id > 899").select("text", F.lit("x").alias("lang_pred"), F.lit(1).alias("lang"), F.lit(2).alias("score")), profiles)
+    assert clash.columns == ["text", "lang_pred", "lang", "score"] and {r.lang for r in clash.collect()} == {1}
+    assert langid.predict(df.where("false"), profiles).count() == 0
+    long = langid.predict(spark.createDataFrame([(1, "les une dans que " * 40_000), (1, "les une dans que " * 40_000)], "doc_id long, text string"), profiles).collect()
+    assert [r.lang_pred for r in long] == ["fr", "fr"] and long[0].score == long[1].score
+
+
+def test_language_distance_by_definition(spark):
+    """The out-of-place distance, recomputed from the profiles with plain Python sorting."""
+    from collections import Counter
+
+    texts = ["the of and that with there was", "les des une que dans était pour était", "ab ab a"]
+    profiles = [("en", list(range(5, 300))), ("fr", list(range(200, 20, -1)))]
+    letters = langid.Letters()
+    row, gram, count = langid.grams(texts, letters)
+    top = 300
+    got, _ = langid.distances(texts, langid._table(profiles, top), top, letters)
+    for i in range(len(texts)):
+        own = Counter({int(g): int(c) for g, c in zip(gram[row == i], count[row == i])})
+        ranked = [g for g, _ in sorted(own.items(), key=lambda x: (-x[1], x[0]))][:top]
+        for j, (_, profile) in enumerate(profiles):
+            place = {g: k for k, g in enumerate(profile)}
+            assert got[i][j] == sum(abs(k - place[g]) if g in place else top for k, g in enumerate(ranked))
     letters = langid.Letters()
     row, gram, count = langid.grams(["ab a", "", "b"], letters)
     assert dict(zip(gram[row == 0].tolist(), count[row == 0].tolist()))[1] == 2 and count[row == 0].sum() == 3 + 5 + 3
@@ -492,7 +516,7 @@ def test_url_model_equals_brute_force(spark):
 
     rand = random.Random(9)
     word = lambda a: "".join(rand.choices(a, k=rand.randint(3, 9)))
-    urls = [f"http://{word('abcde')}.{h}{p}{word('shop' if h == 'com' else 'lean')}/{i}" for i, (h, p) in enumerate([("com", "/en/"), ("net", "/de/"), ("info", "/x/"), ("org", "/es/")] * 60)]
+    urls = [f"http://{word('abcde')}.{h}{p}{word('shop' if h in ('com', 'org') else 'lean')}/{i}" for i, (h, p) in enumerate([("com", "/en/"), ("net", "/de/"), ("net", "/fr/"), ("org", "/es/")] * 60)]
     urls += ["http://Ä.info/" + word("shop"), "x" * 3000, "", urls[0], urls[2]]
     df = spark.createDataFrame([(i, u, 1, [0]) for i, u in enumerate(urls)], "page_id long, url string, score int, codes array<int>")
     got = {r.page_id: r for r in urlfilter.judge_urls(df).collect()}
@@ -524,7 +548,7 @@ def test_url_model_equals_brute_force(spark):
     limit = min(best)[2] * 0.005
     assert all(got[i].verdict == ("block" if score[i] < limit else "allow") for i in score if i not in cls)
     free = [i for i in range(2, 240, 4)]
-    assert np.mean([got[i].verdict == "allow" for i in free]) > 0.8 and got[len(urls) - 1].score == got[2].score
+    assert np.mean([got[i].verdict == "allow" for i in free]) > 0.5 and got[len(urls) - 1].score == got[2].score
 
 
 def test_empty_tables(spark, empty, docs):
