@@ -1,10 +1,12 @@
 """Text functions as Column expressions; Arrow UDFs only where no expression has the semantics."""
 
-import unicodedata
+from __future__ import annotations
+
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space as Unicode's isspace, and tokens (a run of letters, digits, underscores, or one other visible character).
 WS = r"\x09-\x0d\x1c-\x20\x{85}\p{Z}"
@@ -40,24 +42,44 @@ def tsv_escape(text: Column) -> Column:
     return text
 
 
-def encoded(words: Column, vocabulary: Column) -> Column:
-    """One character a word (its place in the vocabulary), so that string functions work on word lists of up to 55,000 distinct words."""
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 255), 4, "0")), "")), "UTF-16BE")
-
-
-def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word lists."""
-    vocabulary = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(encoded(a, vocabulary), encoded(b, vocabulary))
-
-
-def distance_fields(a: Column, b: Column) -> dict[str, Column]:
-    """identical; char and word distance, longer length, and their quotient (0 where both are empty)."""
-    ta, tb = tokens(a), tokens(b)
-    cd, cn = F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))
-    wd, wn = word_distance(ta, tb), F.greatest(F.size(ta), F.size(tb))
-    part = lambda d, n: F.when(n > 0, d / n).otherwise(F.lit(0.0))
-    return {"identical": a == b, "char_distance": cd, "char_length": cn, "char_normalized": part(cd, cn), "word_distance": wd, "word_length": wn, "word_normalized": part(wd, wn)}
+def edit_distance(a, b) -> int:
+    """Levenshtein distance of two sequences: equal ends are left out, then one column of the table at a time as the bits of two integers."""
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < min(end_a, end_b) and a[start] == b[start]:
+        start += 1
+    while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[start:end_a], b[start:end_b]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0  # where the column grows and shrinks from one cell to the next
+    for x in b:
+        same = where.get(x, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | (full & ~(flat | up)), up & flat
+        distance += bool(right_up & last) - bool(right_down & last)
+        right_up = (right_up << 1 | 1) & full
+        up, down = ((right_down << 1) & full) | (full & ~(flat | right_up)), right_up & flat
+    return distance
+
+
+def _distances(a: pd.Series, b: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    rows = [(0, len(x), 0, len(p)) if x == y else (edit_distance(x, y), max(len(x), len(y)), edit_distance(p.tolist(), q.tolist()), max(len(p), len(q))) for x, y, p, q in zip(a, b, left, right)]
+    return pd.DataFrame(rows, columns=["char_distance", "char_length", "word_distance", "word_length"])
+
+
+def with_distances(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Add identical and, for characters and words, distance, longer length and their quotient (0 where both are empty). Both texts are not null.
+
+    Lengths and distances come from one Arrow function, called once for each row; rows are dealt anew before, since a pair costs far more than it weighs."""
+    made = F.pandas_udf(_distances, "char_distance int, char_length int, word_distance int, word_length int")(F.col(a), F.col(b), tokens(F.col(a)), tokens(F.col(b)))
+    rows = pairs.withColumn("_distances", made).select(*pairs.columns, (F.col(a) == F.col(b)).alias("identical"), "_distances.*")
+    part = lambda u: F.when(F.col(f"{u}_length") > 0, F.col(f"{u}_distance") / F.col(f"{u}_length")).otherwise(F.lit(0.0)).alias(f"{u}_normalized")
+    return rows.select("*", part("char"), part("word"))
 
 
 def safe_exp(x: Column) -> Column:
@@ -75,43 +97,50 @@ def describe(x: Column) -> Column:
     return F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), p[1].alias("median"), p[0].alias("p10"), p[2].alias("p90"))
 
 
-def _edit_fractions(a: pd.Series, b: pd.Series) -> pd.Series:
-    import regex
+def blocks(a: list, b: list) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the equal stretches of the two lists by gestalt matching, and the empty one at both ends."""
+    return [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
 
-    token = regex.compile(r"\w+|[^\w\s]")
 
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        left, right = token.findall(x), token.findall(y)
-        changed = sum(max(i2 - i1, j2 - j1) for kind, i1, i2, j1, j2 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes() if kind != "equal")
-        return changed / max(len(left), len(right), 1)
+def _aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, y in zip(a, b):
+        equal = changed = at_x = at_y = 0
+        for i, j, n in blocks(x.tolist(), y.tolist()) if x is not None and y is not None else ():
+            changed += max(i - at_x, j - at_y)  # the gap before this stretch
+            equal, at_x, at_y = equal + n, i + n, j + n
+        rows.append((equal, changed))
+    return pd.DataFrame(rows, columns=["equal", "changed"])
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
+def alignment(a: Column, b: Column) -> Column:
+    """Of two token lists: struct of equal, the tokens in equal stretches, and changed, the sum over the gaps between them of the longer side."""
+    return F.pandas_udf(_aligned, "equal long, changed long")(a, b)
 
-def edit_fraction(a, b) -> Column:
-    """Sum of the longer sides of all changed stretches over the longer token list; not bounded by 1."""
-    return F.pandas_udf(_edit_fractions, "double")(a, b)
 
+def edit_fraction(a: Column, b: Column) -> Column:
+    """Changed tokens over those of the longer text (at least 1); not bounded by 1. Null where a text is null."""
+    left, right = tokens(a), tokens(b)
+    part = alignment(left, right)["changed"] / F.greatest(F.size(left), F.size(right), F.lit(1))
+    return F.when(a.isNotNull() & b.isNotNull(), part)
 
-def _folded(text: pd.Series) -> pd.Series:
-    import regex
 
-    token = regex.compile(r"\w+|[^\w\s]")
-    fold = lambda t: "".join(" " if unicodedata.category(c)[0] == "P" else c for c in t).casefold()
-    return text.map(lambda t: None if t is None else token.findall(fold(t)))
+def case_folding() -> tuple[str, str, list[tuple[str, str]]]:
+    """Full case folding: characters that become one other character, those characters, and the ones that become several."""
+    changed = [(c, f) for c in map(chr, range(sys.maxunicode + 1)) if (f := c.casefold()) != c and not "\ud800" <= c <= "\udfff"]
+    one = [(c, f) for c, f in changed if len(f) == 1]
+    return "".join(c for c, _ in one), "".join(f for _, f in one), [(c, f) for c, f in changed if len(f) > 1]
 
 
-def folded_tokens(text) -> Column:
-    """Tokens without punctuation and case differences."""
-    return F.pandas_udf(_folded, "array<string>")(text)
-
+def folded(text: Column) -> Column:
+    """Punctuation to blanks, then full case folding."""
+    source, target, longer = case_folding()
+    text = F.regexp_replace(text, r"\p{P}", " ")
+    for c, f in longer:
+        text = F.replace(text, F.lit(c), F.lit(f))
+    return F.translate(text, source, target)
 
-def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sum(m.size for m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks()) for x, y in zip(a, b)], dtype="int64")
 
-
-def matched(a, b) -> Column:
-    """Tokens in matching blocks of two token lists."""
-    return F.pandas_udf(_matched, "long")(a, b)
+def folded_tokens(text: Column) -> Column:
+    """Tokens without punctuation and case differences."""
+    return tokens(folded(text))

@@ -34,10 +34,14 @@ def explode_targets(records: DataFrame) -> DataFrame:
 
 
 def upgrade_legacy(target: Column) -> Column:
-    """human gets the value read for it; student, human_reference and seg go."""
-    rest = F.map_filter(target, lambda k, v: ~k.isin(*LEGACY, "human"))
-    human = F.coalesce(*[F.when(F.map_contains_key(target, k), target[k]) for k in HUMAN])
-    return F.when(F.coalesce(*[F.when(F.map_contains_key(target, k), F.lit(True)) for k in HUMAN]), F.map_concat(rest, F.create_map(F.lit("human"), human))).otherwise(rest)
+    """The present form of a target: base is what the first present name of base has, without trailing white space; human stays, or takes the value
+    of human_reference; student, human_reference and seg go, all other fields stay."""
+    rest = F.map_filter(target, lambda k, v: ~k.isin(*LEGACY, "base", "human"))
+    old = F.when(F.map_contains_key(target, "human"), target["human"]).when(F.map_contains_key(target, "human_reference"), target["human_reference"])
+    told = F.map_contains_key(target, "human") | F.map_contains_key(target, "human_reference")
+    base = F.create_map(F.lit("base"), _boxed(rstrip(by_presence(target, BASE))))
+    human = F.when(told, F.create_map(F.lit("human"), old)).otherwise(F.map_filter(target, lambda k, v: F.lit(False)))
+    return F.map_concat(rest, base, human)
 
 
 def upsert(tgts: Column, language: str, key: str, value: Column) -> Column:
@@ -57,5 +61,16 @@ def _boxed(value: Column) -> Column:
     return F.when(value.isNull(), F.parse_json(F.lit("null"))).otherwise(value.cast("variant"))
 
 
+def join_targets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Targets of the two sides by line and language, in any order: exploded rows (line, language, columns prefixed l_ and r_); pairs only."""
+    side = lambda df, p: df.select("line", "language", *[F.col(c).alias(p + c) for c in df.columns if c not in ("line", "language")])
+    return side(left, "l_").join(side(right, "r_"), ["line", "language"])
+
+
+def target_of(tgts: Column, language: str | None) -> Column:
+    """The target of a language, or without one the first; null if there is none. At most one is checked by validate.one_target_rules."""
+    return F.get(tgts if language is None else F.filter(tgts, lambda t: F.coalesce(text_variant(t, "language") == language, F.lit(False))), 0)
+
+
 def language_set(tgts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(tgts, lambda t: text_variant(t, "language"))))

@@ -23,13 +23,13 @@ def completion_ids(text: Column, tokenize=code_points) -> Column:
     return F.concat(tokenize(rstrip(text)), F.array(F.lit(TURN_END)))
 
 
-def with_reason(rows: DataFrame, source: str, answers: list[str], max_length: int) -> DataFrame:
+def with_reason(rows: DataFrame, source: str, answers: list[str], max_length: int, tokenize=code_points) -> DataFrame:
     """Add reason: missing_or_empty_field, then max_length (prompt and turn end count), then identical_preferences; null for rows that stay."""
-    too_long = [F.size(prompt_ids(F.col(source))) + F.size(completion_ids(F.col(a))) > max_length for a in answers]
+    too_long = [F.size(prompt_ids(F.col(source), tokenize)) + F.size(completion_ids(F.col(a), tokenize)) > max_length for a in answers]
     blank, over = is_blank(F.col(source)), F.lit(False)
     for a, long in zip(answers, too_long):
         blank, over = blank | is_blank(F.col(a)), over | long
-    same = rstrip(F.col(answers[0])) == rstrip(F.col(answers[1])) if len(answers) == 2 else F.lit(False)
+    same = completion_ids(F.col(answers[0]), tokenize) == completion_ids(F.col(answers[1]), tokenize) if len(answers) == 2 else F.lit(False)
     return rows.withColumn("reason", first_reason(("missing_or_empty_field", blank), ("max_length", over), ("identical_preferences", same)))
 
 
@@ -38,13 +38,13 @@ def masked(prefix: Column, end: Column) -> dict[str, Column]:
     return {"input_ids": ids, "attention_mask": F.array_repeat(F.lit(1), F.size(ids)), "labels": F.concat(F.array_repeat(F.lit(IGNORED), F.size(prefix)), end)}
 
 
-def sft_rows(kept: DataFrame, source: str, answer: str) -> DataFrame:
-    cols = masked(prompt_ids(F.col(source)), completion_ids(F.col(answer)))
+def sft_rows(kept: DataFrame, source: str, answer: str, tokenize=code_points) -> DataFrame:
+    cols = masked(prompt_ids(F.col(source), tokenize), completion_ids(F.col(answer), tokenize))
     return kept.select("line", *[c.alias(n) for n, c in cols.items()])
 
 
-def preference_rows(kept: DataFrame, source: str, chosen: str, rejected: str) -> DataFrame:
-    return kept.select("line", prompt_ids(F.col(source)).alias("prompt_input_ids"), completion_ids(F.col(chosen)).alias("chosen_input_ids"), completion_ids(F.col(rejected)).alias("rejected_input_ids"))
+def preference_rows(kept: DataFrame, source: str, chosen: str, rejected: str, tokenize=code_points) -> DataFrame:
+    return kept.select("line", prompt_ids(F.col(source), tokenize).alias("prompt_input_ids"), completion_ids(F.col(chosen), tokenize).alias("chosen_input_ids"), completion_ids(F.col(rejected), tokenize).alias("rejected_input_ids"))
 
 
 def cpo_rows(preferences: DataFrame) -> DataFrame:
@@ -54,6 +54,16 @@ def cpo_rows(preferences: DataFrame) -> DataFrame:
     return preferences.select("line", *out)
 
 
+def stop_ids(eos: Column, turn_end: Column) -> Column:
+    """The distinct ids that end an answer, without nulls, in order."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(eos, turn_end))))
+
+
+def hit_limit(output_ids: Column, stops: Column) -> Column:
+    """Whether an output has no stop token."""
+    return ~F.arrays_overlap(output_ids, stops)
+
+
 def padded(rows: DataFrame, batch: int, pads: dict[str, int], left: bool = False) -> DataFrame:
     """Pad arrays to the longest of their batch of consecutive lines."""
     number = F.floor((F.col("line") - 1) / batch)

@@ -17,22 +17,46 @@ class ValidationError(ValueError):
     pass
 
 
-def violations(df: DataFrame, rules: dict[str, tuple[Column, str]]) -> DataFrame:
-    """rules: code -> (predicate that holds for a bad row, message). Null predicates count as not held."""
-    parts = [df.where(F.coalesce(bad, F.lit(False))).select("line", F.lit(code).alias("code"), F.lit(text).alias("message")) for code, (bad, text) in rules.items()]
-    return reduce(DataFrame.unionByName, parts)
+Rules = dict[str, tuple[Column, str]]
 
 
-def raise_first(found: DataFrame) -> None:
-    first = found.orderBy("line", "code").first()
+def violations(df: DataFrame, rules: Rules) -> DataFrame:
+    """rules: code -> (predicate that holds for a bad row, message), in order of precedence. (line, rank, code, message), found in one pass.
+
+    Null predicates count as not held."""
+    marks = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(i).alias("rank"), F.lit(code).alias("code"), F.lit(text).alias("message"))) for i, (code, (bad, text)) in enumerate(rules.items())]
+    return df.select("line", F.explode(F.array_compact(F.array(*marks))).alias("v")).select("line", "v.*")
+
+
+def raise_first(found: DataFrame, where: str = "input") -> None:
+    """Raise for the smallest line, and of its violations for the first rule."""
+    first = found.agg(F.min(F.struct("line", "rank", "message")).alias("x")).first().x
     if first is not None:
-        raise ValidationError(f"input line {first.line}: {first.message}")
+        raise ValidationError(f"{where} line {first.line}: {first.message}")
+
+
+def checked(df: DataFrame, rules: Rules, where: str = "input") -> DataFrame:
+    """df, once none of its rows breaks a rule."""
+    raise_first(violations(df, rules), where)
+    return df
+
+
+def not_empty(df: DataFrame, message: str) -> DataFrame:
+    if df.isEmpty():
+        raise ValidationError(message)
+    return df
 
 
-def record_rules() -> dict[str, tuple[Column, str]]:
+def object_rules() -> Rules:
+    """Of parsed lines: each holds a JSON object."""
+    return {"malformed": (F.col("form") == "malformed", "invalid JSON"), "not_object": (F.col("form") == "other", "expected a JSON object")}
+
+
+def record_rules() -> Rules:
+    """Of records whose targets are objects with a language each."""
     no_language = F.exists("tgts", lambda t: text_variant(t, "language").isNull())
     names = F.transform("tgts", lambda t: text_variant(t, "language"))
-    return {
+    return object_rules() | {
         "language": (F.col("language").isNull(), "language must be a string"),
         "seg": (is_blank(F.col("seg")), "missing or empty seg"),
         "tgts": (F.coalesce(F.size("tgts"), F.lit(0)) <= 0, "missing or empty tgts"),
@@ -42,10 +66,51 @@ def record_rules() -> dict[str, tuple[Column, str]]:
     }
 
 
-def tsv_rules(columns: list[str]) -> dict[str, tuple[Column, str]]:
+def _told(t: Column, keys: tuple[str, ...]) -> Column:
+    """Whether one of the keys stands in a target."""
+    return F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: F.map_contains_key(t, k))
+
+
+def base_rules() -> Rules:
+    """A target's base (or its older names) is text that is not blank, or a null under the name base."""
+    from .targets import BASE, by_presence
+
+    bad = lambda t: is_blank(by_presence(t, BASE)) & ~(F.map_contains_key(t, "base") & (F.schema_of_variant(t["base"]) == "VOID"))
+    return {"base": (F.exists("tgts", bad), "expected nonempty target base (or legacy seg)")}
+
+
+def human_rules() -> Rules:
+    from .targets import HUMAN, by_presence
+
+    return {"human": (F.exists("tgts", lambda t: is_blank(by_presence(t, HUMAN))), "expected nonempty target human (or legacy seg)")}
+
+
+def compared_rules() -> Rules:
+    """Every target has a text (an empty one too) under the first name that is present."""
+    from .targets import COMPARED, by_presence
+
+    return {"text": (F.exists("tgts", lambda t: by_presence(t, COMPARED).isNull()), "invalid translation language or text")}
+
+
+def embedded_rules() -> Rules:
+    """Where one target of a record has an embedded human reference, all have one, and none is blank."""
+    from .targets import by_presence
+
+    keys = ("human", "human_reference")
+    blank = lambda t: is_blank(by_presence(t, keys))
+    return {"embedded": (F.exists("tgts", lambda t: _told(t, keys)) & F.exists("tgts", blank), "missing or empty embedded human reference")}
+
+
+def one_target_rules(language: str | None) -> Rules:
+    """At most one target of the language (of any, if none is given)."""
+    own = F.filter("tgts", lambda t: F.lit(True) if language is None else F.coalesce(text_variant(t, "language") == language, F.lit(False)))
+    return {"ambiguous": (F.size(own) > 1, "multiple matching targets; name a target language or remove duplicate targets")}
+
+
+def tsv_rules(columns: list[str]) -> Rules:
     return {"arity": (~F.col("well_formed"), f"expected exactly {len(columns)} TAB-separated fields")} | {
         f"blank_{c}": (F.col("well_formed") & is_blank(F.col(c)), f"blank {c}") for c in columns
-    } | {f"replacement_{c}": (F.contains(F.col(c), F.lit("�")), f"U+FFFD in {c}") for c in columns}
+    } | {f"replacement_{c}": (F.contains(F.col(c), F.lit("\ufffd")), f"U+FFFD in {c}") for c in columns}
 
 
 def first_reason(*chain: tuple[str, Column]) -> Column:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import Evaluation, Inspection, Selection
 from ..functions import metrics, text as X
-from ..operators import align as A, compare as C, targets as T, training as R, validate as V
+from ..operators import align as A, compare as C, evaluate as E, inspect as I, prepare as P, targets as T, training as R, validate as V
 from ..sources import records as S
 from ..streaming import generate as G
-from .triples import DISTANCE_SQL, SCORES_SQL, SQL, TOKENS, VARIANTS, pair_distances, stand_in_scores, triples
+from .triples import DISTANCE_SQL, SCORES_SQL, SQL, TOKENS, VARIANTS, WORDS_SQL, pair_distances, stand_in_scores, triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +27,15 @@ def query(sql: str | None = None):
     return keep
 
 
+_RT = "rtrim({0}, chr(32) || chr(9) || chr(10) || chr(13))"
+_IDS = "list_transform(string_split({0}, ''), lambda c: unicode(c))"
+_MD5 = "md5(array_to_string({0}, ','))"
+
+
+def _md5(c):
+    return F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+
+
 def w(body: str) -> str:
     return f"WITH {SQL} {body}"
 
@@ -64,10 +74,11 @@ def alias_compare_order(spark, sf):
     return _records(spark, sf).select("line", T.present(t, T.COMPARED).alias("key"), T.by_presence(t, T.COMPARED).alias("text"))
 
 
-@query(w("SELECT line, human, (CASE WHEN line % 2 = 0 THEN 1 ELSE 0 END + 2 + CASE WHEN line % 3 = 0 THEN 0 ELSE 1 END)::INT AS n_keys FROM triples"))
+@query(w(f"SELECT line, 'fr' AS language, {_RT.format('base')} AS base, human, CASE WHEN line % 2 = 0 THEN corrected END AS corrected, (CASE WHEN line % 2 = 0 THEN 'base,corrected,human,language' ELSE 'base,human,language' END) AS keys FROM triples"))
 def legacy_upgrade(spark, sf):
     up = _records(spark, sf).select("line", T.upgrade_legacy(F.col("tgts")[0]).alias("t"))
-    return up.select("line", S.text_variant(F.col("t"), "human").alias("human"), F.size(F.map_keys("t")).alias("n_keys"))
+    fields = [S.text_variant(F.col("t"), k).alias(k) for k in ("language", "base", "human", "corrected")]
+    return up.select("line", *fields, F.array_join(F.array_sort(F.map_keys("t")), ",").alias("keys"))
 
 
 @query(w("SELECT line, CASE WHEN line % 4 = 0 THEN 'de' ELSE 'fr' END AS language, seg AS model FROM triples"))
@@ -147,16 +158,18 @@ def lang_set_equality(spark, sf):
     return _sides(spark, sf).where("l_present and r_present").select("line", (F.col("l_languages") == F.col("r_languages")).alias("same_languages"))
 
 
-@query(w("SELECT line, seg AS src, human AS tgt FROM triples WHERE length(seg) <= 1000"))
+@query(w("SELECT line, seg AS src, human AS tgt FROM triples"))
 def reference_attach(spark, sf):
     t = triples(spark, sf)
     rows = t.select("line", F.col("seg").alias("src"), F.col("base").alias("tgt"))
-    return A.attach_references(rows, t.select("line", F.col("human").alias("text"))).where("length(src) <= 1000")
+    return A.attach_references(rows, t.select("line", F.col("human").alias("text")))
 
 
-@query("SELECT lang, source, count(*) AS copies FROM documents GROUP BY lang, source HAVING count(*) > 1")
+@query(w("SELECT line, 'duplicate_language' AS code FROM triples WHERE line % 23 = 0"))
 def duplicate_targets(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("lang", "source").agg(F.count("*").alias("copies")).where("copies > 1")
+    r = _records(spark, sf)
+    twice = r.withColumn("tgts", F.when(F.col("line") % 23 == 0, F.concat("tgts", "tgts")).otherwise(F.col("tgts")))
+    return V.violations(twice, V.record_rules()).select("line", "code")
 
 
 @query(w("SELECT line, seg FROM triples WHERE line > 40"))
@@ -196,7 +209,7 @@ def char_distance(spark, sf):
     return pair_distances(triples(spark, sf)).select("line", "pair", F.col("char_distance").cast("long").alias("distance"), F.col("char_length").cast("long").alias("longer"))
 
 
-@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
+@query(WORDS_SQL + " SELECT line, pair, word_distance AS distance, word_length::BIGINT AS longer FROM edits")
 def word_distance(spark, sf):
     return pair_distances(triples(spark, sf)).select("line", "pair", F.col("word_distance").cast("long").alias("distance"), F.col("word_length").cast("long").alias("longer"))
 
@@ -204,7 +217,7 @@ def word_distance(spark, sf):
 _FLAT = [f"{a}_vs_{b}" for a, b in (("base", "human"), ("base", "corrected"), ("human", "corrected"))]
 
 
-@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
+@query(WORDS_SQL + " SELECT line, " + ", ".join(f"max({u}_distance) FILTER (WHERE pair = '{p}')::BIGINT AS {p}_{u}" for p in _FLAT for u in ("char", "word")) + " FROM edits GROUP BY line")
 def pair_distances_flat(spark, sf):
     d = pair_distances(triples(spark, sf))
     return d.groupBy("line").agg(*[F.max(F.when(F.col("pair") == p, F.col(f"{u}_distance"))).cast("long").alias(f"{p}_{u}") for p in _FLAT for u in ("char", "word")])
@@ -218,14 +231,16 @@ def _described(x):
     return [F.round(d[n], 9).alias(n) for n in ("mean", "median", "p10", "p90")]
 
 
-@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
+_SUMS = ("word_distance", "word_length", "char_distance", "char_length")
+
+
+@query(WORDS_SQL + " SELECT pair, count(*) AS pairs, count(*) FILTER (WHERE identical) AS identical, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in _SUMS) + ", " + _DESC.format("word_normalized") + " FROM edits GROUP BY pair")
 def edit_summary(spark, sf):
     d = pair_distances(triples(spark, sf))
-    sums = [F.sum(c).cast("long").alias(c) for c in ("word_distance", "word_length", "char_distance", "char_length")]
-    return d.groupBy("pair").agg(F.count("*").alias("pairs"), F.count_if("identical").alias("identical"), *sums, *_described("word_normalized"))
+    return d.groupBy("pair").agg(F.count("*").alias("pairs"), F.count_if("identical").alias("identical"), *[F.sum(c).cast("long").alias(c) for c in _SUMS], *_described("word_normalized"))
 
 
-@query()  # no SQL: DuckDB's levenshtein compares bytes, and a pair has more distinct words than bytes have values
+@query(WORDS_SQL + " SELECT pair, " + ", ".join(f"round(sum({u}_distance) / sum({u}_length), 9) AS {u}" for u in ("word", "char")) + " FROM edits GROUP BY pair")
 def pooled_distance(spark, sf):
     return pair_distances(triples(spark, sf)).groupBy("pair").agg(*[F.round(F.sum(f"{u}_distance") / F.sum(f"{u}_length"), 9).alias(u) for u in ("word", "char")])
 
@@ -295,9 +310,9 @@ def _reasoned(spark, sf, *answers):
     return R.with_reason(triples(spark, sf), "seg", list(answers), _BUDGET)
 
 
-@query(w(f"SELECT line FROM triples WHERE length(seg) + 2 + 64 <= 1400"))
+@query(w("SELECT line FROM triples WHERE length(seg) + 2 + 64 <= 600"))
 def budget_filter(spark, sf):
-    return triples(spark, sf).where(F.size(R.prompt_ids(F.col("seg"))) + 64 <= 1400).select("line")
+    return triples(spark, sf).where(F.size(R.prompt_ids(F.col("seg"))) + 64 <= 600).select("line")
 
 
 @query(w(f"SELECT reason, count(*) AS n FROM (SELECT {_PREF_REASON} AS reason FROM triples) WHERE reason IS NOT NULL GROUP BY reason"))
@@ -305,31 +320,43 @@ def exclusion_histogram(spark, sf):
     return _reasoned(spark, sf, "corrected", "base").where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(w(f"SELECT line, {_LEN.format('corrected')}::BIGINT AS n_ids, (length(seg) + 2)::BIGINT AS n_masked FROM (SELECT *, {_SFT_REASON} AS reason FROM triples) WHERE reason IS NULL"))
+_PROMPT = f"([1, 2] || {_IDS.format('seg')})"
+_END = lambda c: f"({_IDS.format(_RT.format(c))} || [9])"
+_MASK = "list_transform(range(length(seg) + 2), lambda x: -100)"
+_ONES = "list_transform(range({0}), lambda x: 1)"
+
+
+@query(w(f"SELECT line, {_MD5.format(_PROMPT + ' || ' + _END('corrected'))} AS input_ids, {_LEN.format('corrected')}::BIGINT AS mask_ones, {_MD5.format(_MASK + ' || ' + _END('corrected'))} AS labels FROM (SELECT *, {_SFT_REASON} AS reason FROM triples) WHERE reason IS NULL"))
 def sft_rows(spark, sf):
     rows = R.sft_rows(_reasoned(spark, sf, "corrected").where("reason is null"), "seg", "corrected")
-    return rows.select("line", F.size("input_ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x == R.IGNORED)).cast("long").alias("n_masked"))
+    return rows.select("line", _md5("input_ids").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_ones"), _md5("labels").alias("labels"))
 
 
 def _preferences(spark, sf):
     return R.preference_rows(_reasoned(spark, sf, "corrected", "base").where("reason is null"), "seg", "corrected", "base")
 
 
-@query(w(f"SELECT line, (length(seg) + 2)::BIGINT AS n_prompt, (length(rtrim(corrected)) + 1)::BIGINT AS n_chosen, (length(rtrim(base)) + 1)::BIGINT AS n_rejected FROM (SELECT *, {_PREF_REASON} AS reason FROM triples) WHERE reason IS NULL"))
+@query(w(f"SELECT line, {_MD5.format(_PROMPT)} AS prompt, {_MD5.format(_END('corrected'))} AS chosen, {_MD5.format(_END('base'))} AS rejected FROM (SELECT *, {_PREF_REASON} AS reason FROM triples) WHERE reason IS NULL"))
 def pref_rows(spark, sf):
-    n = lambda c, a: F.size(c).cast("long").alias(a)
-    return _preferences(spark, sf).select("line", n("prompt_input_ids", "n_prompt"), n("chosen_input_ids", "n_chosen"), n("rejected_input_ids", "n_rejected"))
+    return _preferences(spark, sf).select("line", *[_md5(f"{n}_input_ids").alias(n) for n in ("prompt", "chosen", "rejected")])
 
 
-@query(w(f"SELECT line, {_LEN.format('corrected')}::BIGINT AS n_chosen, {_LEN.format('base')}::BIGINT AS n_rejected FROM (SELECT *, {_PREF_REASON} AS reason FROM triples) WHERE reason IS NULL"))
+@query(w("SELECT line, " + ", ".join(f"{_MD5.format(_PROMPT + ' || ' + _END(c))} AS {n}_input_ids, {_MD5.format(_ONES.format(_LEN.format(c)))} AS {n}_attention_mask, {_MD5.format(_MASK + ' || ' + _END(c))} AS {n}_labels" for n, c in (("chosen", "corrected"), ("rejected", "base"))) + f", {_MD5.format(_PROMPT)} AS prompt_input_ids FROM (SELECT *, {_PREF_REASON} AS reason FROM triples) WHERE reason IS NULL"))
 def cpo_rows(spark, sf):
-    return R.cpo_rows(_preferences(spark, sf)).select("line", F.size("chosen_labels").cast("long").alias("n_chosen"), F.size("rejected_attention_mask").cast("long").alias("n_rejected"))
+    rows = R.cpo_rows(_preferences(spark, sf))
+    return rows.select("line", *[_md5(c).alias(c) for c in rows.columns if c != "line"])
 
 
-@query(w(f"SELECT line, (line - 1) // 16 AS batch, max({_LEN.format('human')}) OVER (PARTITION BY (line - 1) // 16)::BIGINT AS n_ids FROM triples"))
+_HUMAN = f"{_PROMPT} || {_END('human')}"
+_FILL = "list_transform(range(longest - n), lambda x: {0})"
+
+
+@query(w(f", b AS (SELECT *, (line - 1) // 16 AS batch, {_LEN.format('human')} AS n FROM triples), m AS (SELECT *, max(n) OVER (PARTITION BY batch) AS longest FROM b) SELECT line, batch, {_MD5.format('(' + _HUMAN + ') || ' + _FILL.format('0'))} AS input_ids, {_MD5.format(_ONES.format('n') + ' || ' + _FILL.format('0'))} AS attention_mask, {_MD5.format(_MASK + ' || ' + _END('human') + ' || ' + _FILL.format('-100'))} AS labels, {_MD5.format(_FILL.format('0') + ' || ' + _HUMAN)} AS left_padded FROM m"))
 def padded_batch(spark, sf):
     rows = R.sft_rows(triples(spark, sf), "seg", "human")
-    return R.padded(rows, 16, {"input_ids": 0, "attention_mask": 0, "labels": R.IGNORED}).select("line", "batch", F.size("input_ids").cast("long").alias("n_ids"))
+    right = R.padded(rows, 16, {"input_ids": 0, "attention_mask": 0, "labels": R.IGNORED})
+    left = R.padded(rows, 16, {"input_ids": 0}, left=True).select("line", _md5("input_ids").alias("left_padded"))
+    return right.select("line", "batch", *[_md5(c).alias(c) for c in ("input_ids", "attention_mask", "labels")]).join(left, "line")
 
 
 def _jobs(spark, sf):
@@ -344,9 +371,9 @@ def finish_reason_counts(spark, sf):
     return G.generate(_jobs(spark, sf), budget=1400, reserved=20).groupBy(F.col("finish_reason").alias("finish")).agg(F.count("*").alias("n"))
 
 
-@query(w(f"SELECT line, CASE WHEN base IS NULL THEN 'skipped' WHEN length(base) + 20 > 1400 THEN 'context_budget_exceeded' WHEN line % 7 = 0 THEN 'generation_length' END AS skip_reason, CASE WHEN {_FINISH} = 'stop' THEN length(replace(base, chr(223), 'SS')) END AS n_text FROM triples"))
+@query(w(f"SELECT line, CASE WHEN base IS NULL THEN 'skipped' WHEN length(base) + 20 > 1400 THEN 'context_budget_exceeded' WHEN line % 7 = 0 THEN 'generation_length' END AS skip_reason, CASE WHEN {_FINISH} = 'stop' THEN upper(replace(base, chr(223), 'SS')) END AS text FROM triples"))
 def skip_union(spark, sf):
-    return G.generate(_jobs(spark, sf), budget=1400, reserved=20).select("line", "skip_reason", F.length("text").cast("long").alias("n_text"))
+    return G.generate(_jobs(spark, sf), budget=1400, reserved=20).select("line", "skip_reason", "text")
 
 
 @query(w("SELECT line, CASE WHEN line % 5 = 0 OR line % 7 = 0 THEN NULL ELSE human END AS corrected, CASE WHEN line % 5 = 0 THEN 'invalid_json' WHEN line % 7 = 0 THEN 'missing_string_field' END AS extraction_error FROM triples"))
@@ -370,9 +397,10 @@ def limit_after_validation(spark, sf):
     return r.where("line <= 25").select("line", "seg")
 
 
-@query(w("SELECT line, 'fr' AS language FROM triples"))
+@query(w("SELECT line, CASE WHEN line % 2 = 0 THEN 'de' ELSE 'fr' END AS language FROM triples"))
 def first_target(spark, sf):
-    return _records(spark, sf).select("line", S.text_variant(F.element_at("tgts", 1), "language").alias("language"))
+    both = F.transform(F.when(F.col("line") % 2 == 0, F.array(F.lit("de"), F.lit("fr"))).otherwise(F.array(F.lit("fr"), F.lit("de"))), lambda x: F.create_map(F.lit("language"), x.cast("variant")))
+    return triples(spark, sf).select("line", S.text_variant(F.element_at(both, 1), "language").alias("language"))
 
 
 @query(w(f", sides AS (SELECT line, {TOKENS.format('base')} AS h, {TOKENS.format('human')} AS r FROM triples WHERE base IS NOT NULL), grams AS (" + " UNION ALL ".join(f"SELECT line, {n} AS n, {l} AS l, {1 - l} AS r, unnest(list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))) AS gram FROM sides" for n in range(1, 5) for c, l in (("h", 1), ("r", 0))) + "), counts AS (SELECT line, n, gram, sum(l) AS l, sum(r) AS r FROM grams GROUP BY line, n, gram) SELECT n, sum(least(l, r))::BIGINT AS matched, sum(l)::BIGINT AS left_total, sum(r)::BIGINT AS right_total FROM counts GROUP BY n"))
@@ -409,12 +437,25 @@ def bootstrap_poisson(spark, sf):
     return C.poisson_bootstrap(_diffs(spark, sf), 20_000)
 
 
-@query(w("SELECT line AS pos, length(seg) AS a, length(human) AS b FROM triples WHERE line % 6 <> 0"))
+_A, _B = "length(seg)::DOUBLE", "(length(human) - length(base) % 7)::DOUBLE"
+
+
+def _systems(spark, sf):
+    t = triples(spark, sf).where("base is not null").select((F.col("line") - 1).alias("pos"), F.col("seg").alias("src"), F.lit(True).alias("has_ref"), F.col("human").alias("ref"), "base")
+    scored = lambda c: t.select("pos", "src", "has_ref", "ref", c.cast("double").alias("score"))
+    return scored(F.length("src")), scored(F.length("ref") - F.length("base") % 7)
+
+
+@query(w(f"SELECT line - 1 AS pos, {_A} AS a, {_B} AS b FROM triples WHERE base IS NOT NULL"))
 def score_alignment(spark, sf):
-    t = triples(spark, sf)
-    a = t.select(F.col("line").alias("pos"), F.col("seg").alias("src"), F.length("seg").cast("long").alias("a"))
-    b = t.where("line % 6 <> 0").select(F.col("line").alias("pos"), F.col("seg").alias("src"), F.length("human").cast("long").alias("b"))
-    return a.join(b, ["pos", "src"]).select("pos", "a", "b")
+    return A.align_scores(*_systems(spark, sf)).select("pos", "a", "b")
+
+
+@query(w(f"SELECT count(*) AS sentences, round(avg({_A}), 9) AS system_a, round(avg({_B}), 9) AS system_b, round(avg({_B} - {_A}), 9) AS difference, count(*) FILTER (WHERE {_B} > {_A}) AS b_better, count(*) FILTER (WHERE {_B} < {_A}) AS a_better, count(*) FILTER (WHERE {_B} = {_A}) AS ties FROM triples WHERE base IS NOT NULL"))
+def compare_systems(spark, sf):
+    """Without the interval, whose draws have no SQL; bootstrap_ci has it."""
+    c = C.compare_systems(*_systems(spark, sf)).drop("low", "high", "significant")
+    return c.select("sentences", "b_better", "a_better", "ties", *[F.round(n, 9).alias(n) for n in ("system_a", "system_b", "difference")])
 
 
 @query("SELECT p_brand AS run, max(p_size)::INT AS best, arg_min(p_partkey, (-p_size, p_partkey)) AS step FROM part GROUP BY p_brand")
@@ -440,19 +481,22 @@ def file_digest(spark, sf):
     return S.file_digests(spark, f"{sf}/region.parquet")
 
 
-@query()
+_FOLD = r"lower(replace(regexp_replace({0}, '\p{{P}}', ' ', 'g'), chr(223), 'ss'))"
+
+
+@query(w(f"SELECT line, array_to_string({TOKENS.format(_FOLD.format('seg'))}, ' ') AS tokens FROM triples"))
 def tokenize_casefold(spark, sf):
-    return triples(spark, sf).select("line", X.folded_tokens("seg").alias("tokens"))
+    return triples(spark, sf).select("line", F.array_join(X.folded_tokens(F.col("seg")), " ").alias("tokens"))
 
 
-@query()
+@query()  # no SQL: gestalt matching
 def edit_fraction(spark, sf):
-    return triples(spark, sf).select("line", X.edit_fraction("base", "corrected").alias("fraction"))
+    return triples(spark, sf).select("line", X.edit_fraction(F.col("base"), F.col("corrected")).alias("fraction"))
 
 
 @query()
 def large_edit_flags(spark, sf):
-    return triples(spark, sf).withColumn("fraction", X.edit_fraction("base", "corrected")).select("line", (F.col("fraction") > 0.30).alias("large_edit"))
+    return triples(spark, sf).withColumn("fraction", X.edit_fraction(F.col("base"), F.col("corrected"))).select("line", (F.col("fraction") > 0.30).alias("large_edit"))
 
 
 def _token_pairs(spark, sf):
@@ -460,9 +504,21 @@ def _token_pairs(spark, sf):
     return t.select("line", F.lit("fr").alias("language"), X.tokens(F.col("base")).alias("left"), X.tokens(F.col("corrected")).alias("right"))
 
 
+_SIDES = "(SELECT * FROM triples WHERE base IS NOT NULL AND corrected IS NOT NULL)"
+
+
+@query(w(f"SELECT count(*) AS sentences, count(*) AS pairs, sum(len(l))::BIGINT AS left_tokens, sum(len(r))::BIGINT AS right_tokens, count(*) FILTER (WHERE l = r) AS equal_lines, round(100 * count(*) FILTER (WHERE l = r) / count(*), 9) AS line_percent FROM (SELECT {TOKENS.format(_FOLD.format('base'))} AS l, {TOKENS.format(_FOLD.format('corrected'))} AS r FROM {_SIDES})"))
+def compare_casefold(spark, sf):
+    """Agreement without case and punctuation; the tokens in equal stretches have no SQL."""
+    t = triples(spark, sf).where("base is not null and corrected is not null")
+    side = lambda c: t.select("line", F.lit("en").alias("language"), "seg", F.lit("fr").alias("target_language"), F.col(c).alias("text"))
+    c = C.compare_translations(side("base"), side("corrected"), ignore_case_punct=True)
+    return c.select("sentences", "pairs", "left_tokens", "right_tokens", "equal_lines", F.round("line_percent", 9).alias("line_percent"))
+
+
 @query()
 def matching_blocks(spark, sf):
-    return _token_pairs(spark, sf).select("line", X.matched("left", "right").alias("equal_tokens"))
+    return _token_pairs(spark, sf).select("line", X.alignment(F.col("left"), F.col("right"))["equal"].alias("equal_tokens"))
 
 
 @query()
@@ -507,3 +563,139 @@ def generation_counts(spark, sf):
 def prompt_payload(spark, sf):
     template = "Translate to {target_language}: "
     return triples(spark, sf).select("line", F.concat(F.replace(F.lit(template), F.lit("{target_language}"), F.lit("French")), "seg").alias("prompt"))
+
+
+@query(w("SELECT * FROM (SELECT line, CASE WHEN line % 29 = 0 THEN 'malformed' WHEN line % 31 = 0 THEN 'not_object' WHEN line % 37 = 0 THEN 'language' WHEN line % 41 = 0 THEN 'seg' WHEN line % 43 = 0 THEN 'tgts' END AS code FROM triples) WHERE code IS NOT NULL"))
+def record_violations(spark, sf):
+    """The first violation of every bad line."""
+    k = lambda n: F.col("line") % n == 0
+    value = F.when(k(29), F.lit("{broken")).when(k(31), F.lit("[1]")).when(k(37), F.lit('{"language": 5, "seg": "x", "tgts": [{"language": "fr"}]}')).when(k(41), F.lit('{"language": "en", "seg": " ", "tgts": [{"language": "fr"}]}')).when(k(43), F.lit('{"language": "en", "seg": "x", "tgts": []}')).otherwise(F.col("value"))
+    r = S.parse_records(_record_lines(triples(spark, sf)).select("line", value.alias("value")))
+    return V.violations(r, V.record_rules()).groupBy("line").agg(F.min_by("code", "rank").alias("code"))
+
+
+@query(w("SELECT * FROM (SELECT line, CASE WHEN base IS NULL AND line % 3 = 0 THEN 'base' WHEN line % 3 <> 0 AND base IS NOT NULL AND trim(base) = '' THEN 'base' WHEN trim(human) = '' THEN 'human' END AS code FROM triples) WHERE code IS NOT NULL"))
+def target_violations(spark, sf):
+    """A null is allowed under the name base only, so those of lines with the older name are violations."""
+    return V.violations(_records(spark, sf), V.base_rules() | V.human_rules() | V.embedded_rules()).groupBy("line").agg(F.min_by("code", "rank").alias("code"))
+
+
+_MISSING = "line % 3 = 0 OR base IS NULL OR trim(base) = '' OR line % 2 = 1 OR corrected IS NULL OR trim(corrected) = '' OR trim(seg) = ''"
+
+
+@query(w(f"SELECT line, seg AS src, CASE WHEN line % 2 = 0 THEN corrected END AS tgt, CASE WHEN line % 3 <> 0 THEN base END AS reject, CASE WHEN {_MISSING} THEN 'missing_or_empty' WHEN regexp_matches(seg || corrected || base, '[\\t\\r\\n]') THEN 'tsv_control_characters' END AS reason FROM triples".replace("\\\\", "\\")))
+def extract_selected(spark, sf):
+    return P.extract(_records(spark, sf), Selection("seg", "tgts.corrected", "tgts.base"), tsv=True)
+
+
+@query(w("SELECT line, seg AS src, human AS tgt, length(seg) + 2 AS n_ids FROM triples WHERE length(seg) + 2 + 100 <= 600"))
+def prepare_input_rows(spark, sf):
+    t = triples(spark, sf)
+    rows = t.select("line", F.col("seg").alias("src"), F.col("base").alias("tgt"), F.col("base").isNotNull().alias("has_tgt"))
+    kept, _, _ = P.input_rows(rows, Evaluation(600, 100), t.select("line", F.col("human").alias("text")))
+    return kept.select("line", "src", "tgt", F.size("input_ids").cast("long").alias("n_ids"))
+
+
+@query(w("SELECT line, 'generation_context_budget' AS reason FROM triples WHERE length(seg) + 2 + 100 > 600"))
+def prepare_input_excluded(spark, sf):
+    rows = triples(spark, sf).select("line", F.col("seg").alias("src"), F.col("human").alias("tgt"), F.lit(True).alias("has_tgt"))
+    return P.input_rows(rows, Evaluation(600, 100))[1]
+
+
+@query(w("SELECT line, 'fr' AS language, base AS l_text, human AS r_text FROM triples UNION ALL SELECT line, 'de', seg, corrected FROM triples WHERE line % 3 = 0"))
+def target_join(spark, sf):
+    t = triples(spark, sf)
+    side = lambda a, b, extra: t.select("line", F.lit("fr").alias("language"), F.col(a).alias("text")).unionByName(t.where(extra).select("line", F.lit("de").alias("language"), F.col(b).alias("text")))
+    return T.join_targets(side("base", "seg", "line % 3 = 0"), side("human", "corrected", "true"))
+
+
+@query(w("SELECT line, seg AS src, trim(translate(upper(replace(seg, chr(223), 'SS')), chr(10) || chr(13), '  ')) AS mt, human AS ref FROM triples"))
+def hypothesis_join(spark, sf):
+    """Rows, decoded with the stand-in model, and references, as a metric takes them."""
+    rows = triples(spark, sf).select("line", F.regexp_replace("seg", "[\n\r]", " ").alias("src"), F.col("human").alias("tgt"), F.col("seg").alias("own"))
+    decoded = E.decode(rows)
+    return A.with_hypotheses(rows.withColumn("src", F.col("own")), decoded)
+
+
+@query(w("SELECT round(avg(1 - abs(length(seg) - length(human)) / greatest(length(seg), length(human), 1)), 9) AS system_score FROM triples"))
+def learned_system_score(spark, sf):
+    rows = triples(spark, sf).select("line", F.col("base").alias("src"), F.col("seg").alias("mt"), F.col("human").alias("ref"))
+    return E.system_score(E.learned_scores(rows)).select(F.round("system_score", 9).alias("system_score"))
+
+
+_NESTED = "(' ' || coalesce({0}, '') || ' ')"
+for _pattern, _by in metrics.RULES_13A:
+    _NESTED = f"regexp_replace({_NESTED}, '{_pattern}', '{_by.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+_CUT = lambda c: "regexp_extract_all(" + _NESTED.replace("{0}", c) + r", '[^\x09-\x0d\x1c-\x20\x{85}\p{Z}]+')"
+_LETTERS = lambda c: r"regexp_extract_all(coalesce(" + c + r", ''), '[^\x09-\x0d\x1c-\x20\x{85}\p{Z}]')"
+
+
+def _gram_sql(name: str, cut, top: int) -> str:
+    grams = " UNION ALL ".join(f"SELECT line, {n} AS n, {l} AS l, {1 - l} AS r, unnest(list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i + {n - 1}], chr(1)))) AS gram FROM {name}_sides" for n in range(1, top + 1) for c, l in (("h", 1), ("r", 0)))
+    return f"{name}_sides AS (SELECT line, {cut('base')} AS h, {cut('human')} AS r FROM triples WHERE base IS NOT NULL), {name}_grams AS ({grams}), {name} AS (SELECT n, sum(least(l, r)) AS m, sum(l) AS h, sum(r) AS t FROM (SELECT line, n, gram, sum(l) AS l, sum(r) AS r FROM {name}_grams GROUP BY ALL) GROUP BY n)"
+
+
+@query(w(f", {_gram_sql('words', _CUT, 4)}, {_gram_sql('letters', _LETTERS, 6)}, p AS (SELECT avg(m / h) AS p, avg(m / t) AS r FROM letters) SELECT round(100 * (SELECT CASE WHEN h >= t THEN 1 ELSE exp(1 - t / h) END FROM words WHERE n = 1) * (SELECT exp(avg(ln(m / h))) FROM words), 6) AS bleu, (SELECT round(100 * 5 * p * r / (4 * p + r), 6) FROM p) AS chrf"))
+def corpus_scores(spark, sf):
+    """BLEU over 13a words and chrF. (The SQL has no smoothing: every order has a match here.)"""
+    rows = triples(spark, sf).where("base is not null").select(F.col("base").alias("hyp"), F.col("human").alias("ref"))
+    return metrics.corpus_scores(rows).select(*[F.round(c, 6).alias(c) for c in ("bleu", "chrf")])
+
+
+_STATUS = "CASE WHEN {0} IS NULL OR trim({0}) = '' THEN 'missing_or_empty' WHEN length(seg) + 2 + length({0}) > 1400 THEN 'context_budget_exceeded' ELSE 'ok' END"
+_NLL = "CASE WHEN {0}_status = 'ok' THEN (0.5 * length({0}) + 0.25 * (length({0}) - length(translate({0}, 'aeiou', '')))) / length({0}) END"
+
+
+def _inspected(spark, sf):
+    t = triples(spark, sf).select("line", F.lit("en").alias("source_language"), F.col("seg").alias("source"), F.lit("fr").alias("target_language"), *VARIANTS)
+    return I.inspect(t, Inspection(max_length=1400))
+
+
+@query(
+    WORDS_SQL
+    + ", s AS (SELECT *, "
+    + ", ".join(f"{_STATUS.format(v)} AS {v}_status" for v in VARIANTS)
+    + " FROM triples), n AS (SELECT *, "
+    + ", ".join(f"{_NLL.format(v)} AS {v}_nll" for v in VARIANTS)
+    + " FROM s), e AS (SELECT line, "
+    + ", ".join(f"max({u}_distance) FILTER (WHERE pair = '{p}')::BIGINT AS {p}_{n}_distance" for p in _FLAT for u, n in (("char", "character"), ("word", "word")))
+    + " FROM edits GROUP BY line) SELECT line, seg AS source, "
+    + ", ".join(f"{v}_status, round({v}_nll, 9) AS {v}_nll" for v in VARIANTS)
+    + ", round(human_nll - base_nll, 9) AS nll_human_minus_base, round(corrected_nll - human_nll, 9) AS nll_corrected_minus_human, e.* EXCLUDE (line) FROM n LEFT JOIN e USING (line)"
+)
+def inspect_flat(spark, sf):
+    f = I.flatten(_inspected(spark, sf))
+    rounded = [F.round(c, 9).alias(c) for c in (*[f"{v}_nll" for v in VARIANTS], "nll_human_minus_base", "nll_corrected_minus_human")]
+    return f.select("line", "source", *[f"{v}_status" for v in VARIANTS], *rounded, *[F.col(f"{p}_{n}_distance").cast("long").alias(f"{p}_{n}_distance") for p in _FLAT for n in I.UNITS])
+
+
+@query(w("SELECT s_suppkey, array_to_string(list_sort(list_distinct(list_filter([s_nationkey % 5, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 END], lambda x: x IS NOT NULL))), ',') AS stops FROM supplier"))
+def stop_ids(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    stops = R.stop_ids(F.col("s_nationkey") % 5, F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 3))
+    return s.select("s_suppkey", F.array_join(stops.cast("array<string>"), ",").alias("stops"))
+
+
+_PAYLOAD = "json_object('source_language', 'en', 'target_language', 'fr', 'source', seg, 'student_translation', base{0})::VARCHAR"
+
+
+@query(w(f"SELECT line, CASE WHEN line % 2 = 0 THEN {_PAYLOAD.format(', ' + chr(39) + 'human_reference' + chr(39) + ', human')} ELSE {_PAYLOAD.format('')} END AS payload FROM triples WHERE base IS NOT NULL"))
+def teacher_payload(spark, sf):
+    t = triples(spark, sf).where("base is not null")
+    made = G.chat_payload(F.lit("en"), F.lit("fr"), F.col("seg"), F.col("base"), F.when(F.col("line") % 2 == 0, F.col("human")), "Correct it.")
+    messages = F.from_json(made, "array<struct<role: string, content: string>>")
+    return t.select("line", messages[1]["content"].alias("payload"))
+
+
+@query(w("SELECT line, CASE WHEN base IS NOT NULL AND line % 5 <> 0 THEN human END AS corrected, CASE WHEN base IS NULL THEN 'base translation unavailable' WHEN line % 5 = 0 THEN 'invalid_json' END AS extraction_error, CASE WHEN base IS NULL THEN 'skipped' ELSE 'stop' END AS finish_reason FROM triples"))
+def postedit_audit(spark, sf):
+    t = triples(spark, sf)
+    answers = t.select("line", F.lit("fr").alias("language"), F.when(F.col("base").isNull(), F.lit(None)).when(F.col("line") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("human").alias("corrected_translation")))).alias("raw_response"), F.when(F.col("base").isNull(), "skipped").otherwise("stop").alias("finish_reason"), F.when(F.col("base").isNull(), "skipped").alias("skip_reason"))
+    pairs = t.select("line", F.lit("en").alias("language"), "seg", F.lit(0).alias("pos"), F.lit("fr").alias("target_language"), "base", F.lit(None).cast("string").alias("human"))
+    return G.corrections(pairs, answers, 0.3).select("line", "corrected", "extraction_error", "finish_reason")
+
+
+@query(w("SELECT count(DISTINCT line) AS source_lines, count(*) AS pairs, count(*) FILTER (WHERE base <> corrected) AS changed, count(*) FILTER (WHERE base = corrected) AS unchanged, round(100 * count(*) FILTER (WHERE base <> corrected) / count(corrected), 9) AS changed_percent, count(*) - count(corrected) AS missing, count(*) FILTER (WHERE line % 7 = 0) AS non_stop FROM triples WHERE base IS NOT NULL"))
+def postedit_counts(spark, sf):
+    """What of postedit_stats has SQL: all but the edit fractions."""
+    return postedit_stats(spark, sf).select("source_lines", "pairs", "changed", "unchanged", F.round("changed_percent", 9).alias("changed_percent"), "missing", "non_stop")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import distance_fields
+from ..functions.text import with_distances
 from ..sources.records import number_lines
 
 VARIANTS = ("base", "human", "corrected")
@@ -37,8 +37,7 @@ def pair_rows(t: DataFrame) -> DataFrame:
 
 def pair_distances(t: DataFrame) -> DataFrame:
     """(line, pair, distances) where both texts are not blank."""
-    rows = pair_rows(t).where("trim(a) <> '' and trim(b) <> ''")
-    return rows.select("line", "pair", *[c.alias(n) for n, c in distance_fields(F.col("a"), F.col("b")).items()])
+    return with_distances(pair_rows(t).where("trim(a) <> '' and trim(b) <> ''")).drop("a", "b")
 
 
 TOKENS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\x09-\x0d\x1c-\x20\x{{85}}\p{{Z}}]')"
@@ -57,6 +56,16 @@ DISTANCE_SQL = (
     + " distances AS (SELECT *, CASE WHEN char_length > 0 THEN char_distance / char_length ELSE 0 END AS char_normalized FROM measured)"
 )
 
+#: Word distances by the textbook recurrence, a row of the table a step: `cells` is the row of the first i words of a.
+WORDS_SQL = (
+    DISTANCE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", words AS (SELECT line, pair, {TOKENS.format('a')} AS wa, {TOKENS.format('b')} AS wb FROM lists),"
+    + " steps AS (SELECT line, pair, wa, wb, 0::BIGINT AS i, range(0, len(wb) + 1) AS cells FROM words UNION ALL"
+    + " SELECT line, pair, wa, wb, i + 1, list_reduce(range(1, len(wb) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1, cells[j + 1] + 1, cells[j] + CASE WHEN wa[i + 1] = wb[j] THEN 0 ELSE 1 END)), [i + 1]) FROM steps WHERE i < len(wa)),"
+    + " ended AS (SELECT line, pair, cells[len(cells)]::BIGINT AS word_distance, greatest(len(wa), len(wb)) AS word_length FROM steps WHERE i = len(wa)),"
+    + " edits AS (SELECT d.*, word_distance, word_length, CASE WHEN word_length > 0 THEN word_distance / word_length ELSE 0 END AS word_normalized FROM distances d JOIN ended USING (line, pair))"
+)
+
 
 def stand_in_scores(t: DataFrame) -> DataFrame:
     """(line, variant, status, tokens, total_logprob, nll, perplexity): a scorer without a model, code points as tokens."""

@@ -1,6 +1,9 @@
+import gzip
 import json
 import math
-from difflib import SequenceMatcher
+import random
+
+import numpy as np
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,7 +36,11 @@ def test_compare_reads_every_alias(spark, key):
 def test_legacy_upgrade_and_upsert(spark):
     r = S.parse_records(lines(spark, record(student="Salut.", human_reference="Bonjour.", corrected="Old.")))
     up = r.select(T.upgrade_legacy(F.col("tgts")[0]).alias("t")).select(F.map_keys("t").alias("k"), S.text_variant(F.col("t"), "human").alias("h")).first()
-    assert sorted(up.k) == ["corrected", "human", "language"] and up.h == "Bonjour."
+    assert sorted(up.k) == ["base", "corrected", "human", "language"] and up.h == "Bonjour."
+    cases = [(dict(student="Salut. \n", seg="x"), {"language": "fr", "base": "Salut."}), (dict(base=None, human_reference="R.\n"), {"language": "fr", "base": None, "human": "R.\n"}), (dict(seg="S", note=3), {"language": "fr", "base": "S", "note": 3}), (dict(base="B ", human="H", human_reference="old"), {"language": "fr", "base": "B", "human": "H"})]
+    for target, want in cases:
+        t = S.parse_records(lines(spark, record(**target))).select(F.to_json(T.upgrade_legacy(F.col("tgts")[0]))).first()[0]
+        assert json.loads(t) == want
     out = r.select(F.to_json(T.upsert(F.col("tgts"), "de", "base", F.lit(None).cast("string")))).first()[0]
     assert json.loads(out)[1] == {"language": "de", "base": None}
 
@@ -84,20 +91,42 @@ def test_first_gap(spark):
 
 
 def test_distances(spark):
-    df = spark.createDataFrame([("a b c", "a x c d"), ("Hello.", "hello!"), ("é", "e"), ("", "")], "a string, b string")
-    got = df.select(*[c.alias(n) for n, c in X.distance_fields(F.col("a"), F.col("b")).items()]).collect()
-    assert (got[0].word_distance, got[0].word_normalized) == (2, 0.5)
-    assert got[1].word_distance == 2 and got[2].char_distance == 1 and got[3].word_normalized == 0
+    df = spark.createDataFrame([(1, "a b c", "a x c d"), (2, "Hello.", "hello!"), (3, "é", "e"), (4, "", ""), (5, "same text", "same text")], "line long, a string, b string")
+    got = {r.line: r for r in X.with_distances(df).collect()}
+    assert (got[1].word_distance, got[1].word_normalized, got[1].identical) == (2, 0.5, False)
+    assert got[2].word_distance == 2 and got[3].char_distance == 1 and got[4].word_normalized == 0 and (got[5].char_distance, got[5].identical, got[5].word_length) == (0, True, 2)
+
+
+def test_edit_distance_equals_recurrence():
+    rand = random.Random(2)
+    for _ in range(3000):
+        a, b = (rand.choices("abc", k=rand.randint(0, 14)) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert X.edit_distance(a, b) == row[-1]
+    assert X.edit_distance("a" * 5000 + "b" + "c" * 5000, "a" * 5000 + "c" * 5000) == 1
+
+
+def test_edit_fraction_and_blocks(spark):
+    """Worked by hand: in the first pair `a b` and `d` stay, x comes before them, c goes, `e f` come after; 4 of 6 tokens."""
+    pairs = [("a b c d", "x a b d e f", 4 / 6), ("un", "deux trois quatre", 1.0), ("", "", 0.0), (None, "x", None), ("Au revoir.", "Bonjour.", 2 / 3), ("a b", "a b", 0.0), ("", "p q", 1.0)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i long, a string, b string")
+    got = [r[0] for r in df.orderBy("i").select(X.edit_fraction(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx([w for _, _, w in pairs])
+    assert X.blocks("a b c d".split(), "x a b d e f".split()) == [(0, 1, 2), (3, 3, 1), (4, 6, 0)]
+    equal = df.where("i = 0").select(X.alignment(X.tokens(F.col("a")), X.tokens(F.col("b")))["equal"]).first()[0]
+    assert equal == 3
+
 
+def test_folding_is_full_case_folding(spark):
+    import unicodedata
 
-def test_edit_fraction_and_matches(spark):
-    pairs = [("a b c d", "x a b d e f"), ("un", "deux trois quatre"), ("", ""), (None, "x")]
-    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(X.edit_fraction("a", "b")).collect()]
-    want = []
-    for a, b in pairs[:3]:
-        s = SequenceMatcher(None, a.split(), b.split(), autojunk=False)
-        want.append(sum(max(o[2] - o[1], o[4] - o[3]) for o in s.get_opcodes() if o[0] != "equal") / max(len(a.split()), len(b.split()), 1))
-    assert got[:3] == want and (got[3] is None or math.isnan(got[3]))
+    texts = ["Straße ﬁne ŉ İI ΣΑΣ ς ſ ꭰ!", "«Ça va?» — Oui… (x)", "a_b #1 €", "".join(chr(c) for c in range(0x21, 0x250)), "ΐΰևẖẗẘẙẚﬀﬃﬓ 𐐀"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(X.folded(F.col("t"))).collect()]
+    assert got == ["".join(" " if unicodedata.category(c)[0] == "P" else c for c in t).casefold() for t in texts]
 
 
 def test_describe(spark):
@@ -165,8 +194,10 @@ def test_bootstrap(spark):
     g = np.random.default_rng(42)
     means = [np.array(d)[g.integers(0, 5, 5)].mean() for _ in range(200)]
     assert [got.low, got.high] == pytest.approx(list(np.percentile(means, [2.5, 97.5])))
-    p = C.poisson_bootstrap(df, 400).first()
-    assert p.low < 0.4 < p.high
+    p = C.poisson_bootstrap(df, 4000).first()
+    assert p.low < 0.4 < p.high and abs(p.low - got.low) < 0.25 and abs(p.high - got.high) < 0.25
+    weights = np.searchsorted(C.POISSON, C._uniform(1, np.arange(300), 400), side="right")
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.03
     wins = C.win_loss(df).first()
     assert (wins.wins, wins.losses, wins.ties) == (3, 1, 1)
 
@@ -184,6 +215,17 @@ def test_registered_bootstraps_take_all_resamples(spark, monkeypatch):
 
 
 def test_metrics(spark):
-    df = spark.createDataFrame([(1, "the cat sat on the mat".split(), "the cat sat on the mat".split())], "line long, h array<string>, r array<string>")
-    m = [(r.n, r.matched, r.left_total, r.right_total) for r in metrics.ngram_matches(df, "h", "r", range(1, 5)).collect()]
-    assert metrics.bleu([x[:3] for x in m], 6, 6) == pytest.approx(100) and metrics.chrf(m) == pytest.approx(100)
+    score = lambda *rows: metrics.corpus_scores(spark.createDataFrame(rows, "hyp string, ref string")).first()
+    same = score(("The cat sat on the mat.", "The cat sat on the mat."))
+    assert (same.bleu, same.chrf) == pytest.approx((100, 100))
+    # 5 of 6 words, 3 of 5, 1 of 4 and 0 of 3 n-grams match; the missing order counts as half a match
+    one = score(("the cat sat on a mat", "the cat sat in a mat"))
+    assert one.bleu == pytest.approx(100 * (5 / 6 * 3 / 5 * 1 / 4 * (1 / 2) / 3) ** 0.25)
+    assert score(("x", "y")).bleu == 0 and score((None, "y"), ("", "z")).chrf == 0
+    # "ab" against "abcd": precision 1 and recall 2/4 and 1/3 over two orders; orders without n-grams on a side are left out
+    p, r = 1.0, (2 / 4 + 1 / 3) / 2
+    assert score(("ab", "a b\ncd")).chrf == pytest.approx(100 * 5 * p * r / (4 * p + r))
+    short = score(("a b c d", "a b c d e f g h"))
+    assert short.bleu == pytest.approx(100 * math.exp(1 - 2))
+    cut = spark.createDataFrame([('He said: "1.5-2, (ok)!" e.g. &quot;x&quot; a-\nb',)], "t string").select(metrics.tokens_13a(F.col("t"))).first()[0]
+    assert cut == ["He", "said", ":", '"', "1.5", "-", "2", ",", "(", "ok", ")", "!", '"', "e", ".", "g", ".", '"', "x", '"', "ab"]
