@@ -48,7 +48,7 @@ def preference_rows(kept: DataFrame, source: str, chosen: str, rejected: str, to
 
 
 def cpo_rows(preferences: DataFrame) -> DataFrame:
-    out = [F.col("prompt_input_ids")]
+    out = [F.col("prompt_input_ids"), F.array_repeat(F.lit(1), F.size("prompt_input_ids")).alias("prompt_attention_mask")]
     for side in ("chosen", "rejected"):
         out += [c.alias(f"{side}_{n}") for n, c in masked(F.col("prompt_input_ids"), F.col(f"{side}_input_ids")).items()]
     return preferences.select("line", *out)

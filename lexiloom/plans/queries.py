@@ -341,7 +341,7 @@ def pref_rows(spark, sf):
     return _preferences(spark, sf).select("line", *[_md5(f"{n}_input_ids").alias(n) for n in ("prompt", "chosen", "rejected")])
 
 
-@query(w("SELECT line, " + ", ".join(f"{_MD5.format(_PROMPT + ' || ' + _END(c))} AS {n}_input_ids, {_MD5.format(_ONES.format(_LEN.format(c)))} AS {n}_attention_mask, {_MD5.format(_MASK + ' || ' + _END(c))} AS {n}_labels" for n, c in (("chosen", "corrected"), ("rejected", "base"))) + f", {_MD5.format(_PROMPT)} AS prompt_input_ids FROM (SELECT *, {_PREF_REASON} AS reason FROM triples) WHERE reason IS NULL"))
+@query(w("SELECT line, " + ", ".join(f"{_MD5.format(_PROMPT + ' || ' + _END(c))} AS {n}_input_ids, {_MD5.format(_ONES.format(_LEN.format(c)))} AS {n}_attention_mask, {_MD5.format(_MASK + ' || ' + _END(c))} AS {n}_labels" for n, c in (("chosen", "corrected"), ("rejected", "base"))) + f", {_MD5.format(_PROMPT)} AS prompt_input_ids, {_MD5.format(_ONES.format('length(seg) + 2'))} AS prompt_attention_mask FROM (SELECT *, {_PREF_REASON} AS reason FROM triples) WHERE reason IS NULL"))
 def cpo_rows(spark, sf):
     rows = R.cpo_rows(_preferences(spark, sf))
     return rows.select("line", *[_md5(c).alias(c) for c in rows.columns if c != "line"])
