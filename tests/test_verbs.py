@@ -164,7 +164,7 @@ def test_compared_translations(spark, put):
     assert (plain.sentences, plain.pairs, plain.left_tokens, plain.equal_tokens, plain.equal_lines) == (2, 2, 5, 2, 0)
     assert (loose.left_tokens, loose.equal_tokens, loose.equal_lines, loose.line_percent) == (4, 3, 1, 50.0)
     assert "Equal lines: 1 (50.00%)" in C.agreement_report(loose)
-    for other, message in ((put("q.jsonl.gz", record(base="A b.")), "count"), (put("q.jsonl.gz", record(base="x"), record("C", base="y")), "source"), (put("q.jsonl.gz", record(base="x"), {"language": "en", "seg": "B", "tgts": [{"language": "de", "base": "y"}]}), "languages")):
+    for other, message in ((put("q1.jsonl.gz", record(base="A b.")), "count"), (put("q2.jsonl.gz", record(base="x"), record("C", base="y")), "source"), (put("q.jsonl.gz", record(base="x"), {"language": "en", "seg": "B", "tgts": [{"language": "de", "base": "y"}]}), "languages")):
         with pytest.raises(ValidationError, match=message):
             C.compare_translations(sides[0], L.load_translations(spark, other))
     with pytest.raises(ValidationError, match="invalid translation"):
