@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import pyarrow as pa
@@ -14,12 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder below /tmp is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset and everything runs in one process (tests), one below /tmp is set; a cluster must
+    name a folder that all executors see."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("/tmp/checkpoints/lexiloom")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
