@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .common import batch_bytes, bound_batches, pieces
 
@@ -103,13 +104,15 @@ def _covered(spans: list[int], lengths: list[int]) -> int:
     return total
 
 
-_STATE = {"at": ("array<int>", pa.list_(pa.int32())), "len": ("array<int>", pa.list_(pa.int32())), "item": ("array<string>", pa.list_(pa.string()))}
+_STATE = {"at": (ArrayType(IntegerType()), pa.list_(pa.int32())), "len": (ArrayType(IntegerType()), pa.list_(pa.int32())), "item": (ArrayType(StringType()), pa.list_(pa.string()))}
 
 
 def _search_pass(rows: DataFrame, searches) -> DataFrame:
     """rows: (text, own) and, from the second pass on, at, len and item; one piece's hits are added to these three."""
     fresh = "at" not in rows.columns
-    ddl = f"text string, own {rows.schema['own'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, (t, _) in _STATE.items())
+    schema = StructType([rows.schema["text"], rows.schema["own"]])
+    for name, (kind, _) in _STATE.items():
+        schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = build(searches.value) if searches.value else []
@@ -131,7 +134,7 @@ def _search_pass(rows: DataFrame, searches) -> DataFrame:
                     o.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("own"), *(pa.array(o, t) for o, (_, t) in zip(out, _STATE.values()))], ["text", "own", *_STATE])
 
-    return rows.mapInArrow(run, ddl)
+    return rows.select("text", "own", *([] if fresh else _STATE)).mapInArrow(run, schema)
 
 
 def _hits(rows: DataFrame, benchmark: DataFrame, width: int, block_windows: int) -> DataFrame:

@@ -172,16 +172,17 @@ def drop_unknown(docs: DataFrame, profiles: list[tuple[str, list[int]]], top: in
     """Rows of docs that get a language with at least min_score; nothing is shuffled. With min_score 0 only `und` goes. Columns unchanged, but for
     a text column lang: where it is null it takes the language found."""
     bound_batches(docs.sparkSession)
-    ddl, fill = docs.schema, dict(docs.dtypes).get("lang") == "string"
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Arrow functions look columns up by name, and these have no dots
+    at_text, at_lang = names.index("text"), names.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table = Letters(), _table(profiles, top)
         for batch in pieces(batches):
-            langs, scores = _judge(batch.column("text").to_pylist(), profiles, table, top, letters)
-            if fill:
-                at = batch.schema.get_field_index("lang")
-                own = batch.column(at).to_pylist()
-                batch = batch.set_column(at, batch.schema.field(at), pa.array([x if y is None else y for x, y in zip(langs, own)], batch.column(at).type))
+            langs, scores = _judge(batch.column(at_text).to_pylist(), profiles, table, top, letters)
+            if at_lang is not None:
+                own = batch.column(at_lang).to_pylist()
+                batch = batch.set_column(at_lang, batch.schema.field(at_lang), pa.array([x if y is None else y for x, y in zip(langs, own)], batch.column(at_lang).type))
             yield batch.filter(pa.array([x != UND and s >= min_score for x, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, ddl)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
