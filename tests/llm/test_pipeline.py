@@ -140,3 +140,113 @@ def test_language_stage_fills_and_rejects(spark, sf):
 def test_near_stage_keeps_one_of_repeated_rows(spark, sf):
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()]
     assert kept.count(12) == 1 and 1 in kept and 2 not in kept and None in kept
+
+
+AWKWARD = ("own", "row", "h", "was", "stays", "fp", "at", "len", "item", "line", "key", "sid", "part", "a", "b", "score", "fold", "task", "n", "chunk", "codes", "spans", "n_hex")
+
+
+def _op(name):
+    from lexiloom.llm import ctw, decontaminate as d, langid, linededup, packing, secrets, simhash as s, syncmers, toxicity
+
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    return {
+        "simhash": lambda spark, docs: s.simhash_components(docs),
+        "toxicity": lambda spark, docs: toxicity.score_toxicity(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 120)] + [(None, 1), (7, None)], "doc_id long, toxic int")),
+        "toxicity without labels": lambda spark, docs: toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")),
+        "syncmers": lambda spark, docs: syncmers.fingerprint_pairs(docs),
+        "ctw": lambda spark, docs: ctw.score_documents(docs),
+        "decontamination": lambda spark, docs: d.contamination(docs, spark.createDataFrame([(None, BENCH), (2, None)], "item_id long, text string")),
+        "secrets": lambda spark, docs: secrets.scan_secrets(docs, ranks, P.PATTERN),
+        "language": lambda spark, docs: langid.predict(docs, langid.train_profiles(langid.learned_rows(docs))),
+        "lines": lambda spark, docs: linededup.dedup_lines(docs, min_chars=1),
+        "packing": lambda spark, docs: packing.pack(docs, ranks, P.PATTERN).where("start = 0"),
+    }[name]
+
+
+@pytest.mark.parametrize("name", ["simhash", "toxicity", "toxicity without labels", "syncmers", "ctw", "decontamination", "secrets", "language", "lines", "packing"])
+def test_operators_take_awkward_rows(spark, sf, name):
+    """One row out for each row in: nulls, empty and very long texts, repeated rows, clashing columns, tables of nulls only and without rows."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    clashing = documents.selectExpr("*", *[f"1 as `{c}`" for c in AWKWARD])
+    run = _op(name)
+    keys = lambda df: sorted(map(str, (r.doc_id for r in df.select("doc_id").collect())))
+    out = [sorted(map(str, run(spark, d).collect())) for d in (documents, clashing)]
+    assert len(out[0]) == documents.count() and (name.startswith("toxicity") or out[0] == out[1])
+    assert keys(run(spark, documents)) == keys(documents)
+    assert run(spark, documents.where("false")).count() == 0
+    assert run(spark, spark.createDataFrame([(None,) * 5] * 3, SCHEMA)).count() == 3
+
+
+def test_context_tree_equals_sequential_definition(spark):
+    """Scores of new texts: the ratio of weighted probabilities with and without each bit, by recursion over the counted contexts."""
+    import zlib
+    from math import lgamma, log, log10, exp, pi
+
+    from lexiloom.llm import ctw
+
+    texts = [(i, t) for i, t in enumerate(["abra cadabra", "abra", "cad abba", "Abra Cad", "bad cab", "", "dab", "cabra", "abba", "drab cab", "zz", "abracad abra"])]
+    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 10]
+    normal = lambda t: " ".join(t.lower().split()) + "\n"
+    seen = [(("\n" * ctw.DEPTH + n)[k : k + ctw.DEPTH], n[k]) for t in train for n in [normal(t)] for k in range(len(n))]
+
+    def kt(data):
+        ones = sum(b for _, b in data)
+        return lgamma(ones + 0.5) + lgamma(len(data) - ones + 0.5) - lgamma(len(data) + 1) - log(pi)
+
+    def weighted(data, d=0):
+        if not data:
+            return 0.0
+        own = kt(data)
+        if d == ctw.DEPTH:
+            return own
+        below = sum(weighted([x for x in data if x[0][-1 - d] == c], d + 1) for c in {x[0][-1 - d] for x in data})
+        return log(0.5) + max(own, below) + log(1 + exp(-abs(own - below)))
+
+    def bits(c):
+        return [ord(c) >> (7 - j) & 1 for j in range(8)]
+
+    def logp(context, c):
+        total = 0.0
+        for j, bit in enumerate(bits(c)):
+            data = [(x, bits(y)[j]) for x, y in seen if bits(y)[:j] == bits(c)[:j]]
+            total += weighted([*data, (context, bit)]) - weighted(data)
+        return total
+
+    got = {r.doc_id: r for r in ctw.score_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        n = normal(t)
+        want = sum(logp(("\n" * ctw.DEPTH + n)[k : k + ctw.DEPTH], n[k]) for k in range(len(n))) / log(10)
+        assert got[i].score == pytest.approx(want, abs=2e-4) and got[i].n_bytes == len(n)
+        assert got[i].bits_per_byte == pytest.approx(-want / log10(2) / len(n), abs=2e-3)
+
+
+def test_syncmers_equal_their_definition(spark):
+    import xxhash
+
+    from lexiloom.llm import syncmers
+
+    rand = random.Random(3)
+    texts = ["".join(rand.choices("ab cé日", k=n)) for n in (0, 5, 24, 25, 26, 60, 400)] + [prose(rand, 200).title(), "😀é" * 40, "x" * 90]
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), h)
+        return h & 0xFFFFFFFF
+
+    def anchors(t):
+        h = [signed(xxhash.xxh64_intdigest(t[i : i + 8].encode(), 42)) for i in range(len(t) - 7)]
+        found = [(i, chain([h[i], h[i + 8], h[i + 16], h[i + 17]])) for i in range(len(t) - 24) if min(h[i : i + 18]) in (h[i], h[i + 17])]
+        return found or ([(0, xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFFFF)] if t else [])
+
+    digits = lambda a: "".join(f"{p:08x}{h:08x}" for p, h in a)
+    steps = lambda a: {(h, *((a[k + 1][1], a[k + 1][0] - p) if k + 1 < len(a) else ())) for k, (p, h) in enumerate(a)}
+    like = lambda a, b: len(steps(a) & steps(b)) / len(steps(a) | steps(b)) if a or b else 1.0
+    got = {r.doc_id: r for r in syncmers.fingerprint_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        follow = texts[(i + 1) % len(texts)]
+        a, b, d = (anchors(fold(x)) for x in (t, follow, t[: len(t) - len(t) // 4] + follow[: len(t) // 4]))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (digits(a), digits(d)), i
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((like(a, d), like(a, b)))
