@@ -10,7 +10,8 @@ highest stay (the document is labelled, not the window). Every fifth document of
 
 Labels are read only for rows whose id has remainder other than 0. Conflicting labels of one doc_id count as toxic. A null toxic label is no
 label. Null texts, texts without words and, if there are no labels of both kinds, all texts get the base rate of the training labels
-(0 without labels). Repeated rows are each scored.
+(0 without labels). Repeated rows are each scored; an empty table gives an empty result; very long texts are scored whole. Other columns
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

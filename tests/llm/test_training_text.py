@@ -435,6 +435,48 @@ def test_toxicity(spark):
     assert toxicity.window_starts(25) == [0, 1] and toxicity.window_starts(0) == []
 
 
+def test_network_equals_its_definition():
+    """Logits of one window at a time in plain loops, and gradients against finite differences."""
+    from math import exp, tanh
+
+    rand, p = random.Random(1), {k: v.astype(np.float64) for k, v in toxicity.new_parameters(2).items()}
+    p["word"] = np.random.default_rng(3).normal(0, 0.3, p["word"].shape)
+    windows = [[rand.choice([b"the", b"scum", b"of", "é".encode(), b"trash"]) for _ in range(n)] for n in (1, 5, 24)]
+    words, index, mask = toxicity.indexed(windows)
+    got = toxicity.forward(p, toxicity.gate_inputs(p, words), index, mask)
+    sig, h = lambda x: 1 / (1 + exp(-x)), toxicity.HIDDEN
+
+    def vector(word):
+        b = b"\1" + word + b"\2"
+        tri = [(b[i] * 7919 + b[i + 1] * 104729 + b[i + 2] * 1299709) % toxicity.TRIGRAMS for i in range(len(b) - 2)]
+        return np.concatenate([p["word"][zlib.crc32(word) % toxicity.WORDS], p["tri"][tri].mean(axis=0)])
+
+    for window, logit in zip(windows, got):
+        a, y = np.zeros(len(window)), np.zeros(len(window))
+        for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            state = [0.0] * h
+            for t in order:
+                gx, gh = vector(window[t]) @ p[f"x{d}"] + p[f"c{d}"], np.array(state) @ p[f"h{d}"]
+                z, r = ([sig(gx[k + o] + gh[k + o]) for k in range(h)] for o in (0, h))
+                n = [tanh(gx[2 * h + k] + r[k] * gh[2 * h + k]) for k in range(h)]
+                state = [z[k] * state[k] + (1 - z[k]) * n[k] for k in range(h)]
+                a[t] += np.dot(state, p[f"a{d}"])
+                y[t] += np.dot(state, p[f"y{d}"])
+        soft = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+        assert logit == pytest.approx(float(soft @ y + p["bias"][0]), abs=1e-5)
+    label, weight = np.array([1, 0, 1.0]), np.array([1, 2, 1.0])
+    loss = lambda: (weight * np.logaddexp(0, (1 - 2 * label) * toxicity.forward(p, toxicity.gate_inputs(p, words), index, mask).astype(np.float64))).sum() / weight.sum()
+    g, _ = toxicity.gradients(p, toxicity.word_codes(words), index, mask, label, weight)
+    for k in ("xf", "hb", "af", "yb", "cb", "bias"):
+        for at in [tuple(rand.randrange(n) for n in p[k].shape) for _ in range(4)]:
+            was, ends = p[k][at], []
+            for e in (1e-2, -1e-2):
+                p[k][at] = was + e
+                ends.append(loss())
+            p[k][at] = was
+            assert g[k][at] == pytest.approx((ends[0] - ends[1]) / 2e-2, abs=2e-3)
+
+
 def test_toxicity_of_long_documents(spark):
     rand = random.Random(12)
     text = lambda n: " ".join(rand.choice(VOCABULARY) + rand.choice(VOCABULARY) for _ in range(n))
