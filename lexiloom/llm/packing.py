@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bound_batches, materialize, partitions
+from .common import bound_batches, materialize, partitions, pieces
 from .secrets import load_encoder
 
 DIMENSIONS, GRID_BITS = 4, 8
@@ -38,9 +38,9 @@ SPECIAL = {"<|endoftext|>": 50256}
 class Tokens:
     """Text to little-endian 16-bit ids."""
 
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] = SPECIAL, cache_size: int = 300_000):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] = SPECIAL, cache_size: int = 400_000):
         encode = load_encoder(ranks_path, pattern).encode_ordinary
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         self.special_ids = {t: np.array([i], "<u2").tobytes() for t, i in special.items()}
 
         class Cache(dict):
@@ -56,7 +56,7 @@ class Tokens:
         self.encode = encode
 
     def ids(self, text: str) -> bytes:
-        if self.special and self.special.search(text):
+        if any(s in text for s in self.special_ids):
             return b"".join(self.special_ids[x] if x in self.special_ids else self.ordinary(x) for x in self.special.split(text))
         return self.ordinary(text)
 
@@ -97,8 +97,9 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def projection(vocabulary: int, seed: int = 7) -> np.ndarray:
+    """Signs by dimension and token."""
     signs = np.random.default_rng(seed).integers(0, 2, (vocabulary, DIMENSIONS), dtype=np.int8)
-    return (2 * signs - 1).astype(np.float32)
+    return np.ascontiguousarray((2 * signs - 1).astype(np.float32).T)
 
 
 def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
         joined = np.concatenate([ids[i] for i in full])
         starts = np.concatenate([[0], np.cumsum(lengths[full])[:-1]])
         for d in range(DIMENSIONS):
-            sums[full, d] = np.add.reduceat(signs[joined, d], starts, dtype=np.float64)
+            sums[full, d] = np.add.reduceat(signs[d].take(joined), starts)  # whole numbers, exact up to 2^24 tokens
     share = sums / np.maximum(lengths, 1)[:, None]  # the mean direction does not depend on the length
     cells = np.clip(((share + 0.5) * (1 << GRID_BITS)).astype(np.int64), 0, (1 << GRID_BITS) - 1)
     return hilbert_key(cells, GRID_BITS)
@@ -123,7 +124,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, e
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, signs, end = Tokens(ranks_path, pattern, special), projection(1 << 16), np.array([end_id], "<u2").tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             ids, start = [], 0
             texts = batch.column("text").to_pylist()
             while start < len(texts):  # in parts of some MB, whatever the texts' lengths
@@ -159,7 +160,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, e
     placed = places.join(bases, "part").select("at_row", (F.col("local") + F.col("base")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 256):
             out: list[list] = [[] for _ in range(8)]
             for doc, at, data in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), batch.column("ids").to_pylist()):
                 ids = np.frombuffer(data, "<u2").astype("<u4")
