@@ -6,11 +6,11 @@ estimator in every node. A node's weighted probability is the mean of its own es
 mixes the estimates of all depths with their posterior weights. The estimates depend on counts alone, so counting the corpus in any order
 gives the exact weighted tree of the training text.
 
-Fitting: tasks count (DEPTH+1)-byte strings and send them, packed, to the part that owns their two nearest context bytes. There the subtree is
+Tokens are known by 64-bit hashes. Fitting: tasks count (DEPTH+1)-byte strings and send them, packed, to the part that owns their two nearest context bytes. There the subtree is
 weighted from the leaves up; depths 0 and 1 (at most 256 * 255 nodes) are closed on the driver; a second pass pushes the mixture down, so that
 each node holds the final probability of its bit if it is the deepest known one, and each known string its final log probability.
 Scoring: rows are taken in chunks of about `chunk_bytes` of text. A chunk sends each part of the model the distinct strings and tokens that the
-part owns; the part answers with their log probabilities and counts; answers and rows meet again by chunk. So the model never leaves
+part owns; the part answers with their log probabilities and counts, many chunks at once; answers and rows meet again by chunk. So the model never leaves
 its parts: the driver holds depths 0 and 1 only, a task one part or one chunk's answers, and what is shuffled grows with the input alone.
 docs is read twice and must give its rows in the same partitions and order each time, as a table does; where it does not, the run fails.
 
@@ -20,11 +20,11 @@ training rows every bit has probability 1/2 and base_score is that of an empty t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,8 +34,12 @@ DEPTH = 5
 #: Training text for each part of the model, where that is more than 64 parts and no more than 4096.
 PART_BYTES = 16_000_000
 _PAD = b"\n" * DEPTH
-#: The end token; no word holds this byte.
-END = b"\n"
+#: Words of up to so many bytes are hashed all at once (the sum of a random number for each byte times one for its place), longer ones by XXH3.
+WIDE = 64
+_BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([i]), 1) for i in range(256)], np.uint64)
+_PLACE = np.array([xxhash.xxh3_64_intdigest(bytes([i]), 2) | 1 for i in range(WIDE + 1)], np.uint64)
+#: Hash of the end token's byte, which no word holds.
+END = np.int64(xxhash.xxh3_64_intdigest(b"\n", 3) >> 1)
 
 
 def normal(text: bytes) -> bytes:
@@ -45,17 +49,51 @@ def normal(text: bytes) -> bytes:
 def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the (DEPTH+1)-byte strings that end at each byte of each normal text, and each text's first place among them."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
-    key = np.zeros(len(data) - DEPTH, np.int64)
-    for j in range(DEPTH + 1):
-        key <<= 8
-        key |= data[j : len(data) - DEPTH + j]
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    keep = np.arange(int(lengths.sum())) + np.repeat(DEPTH * np.arange(len(texts)), lengths)
-    return key[keep], starts
-
-
-def parts_of(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    starts = np.cumsum(lengths) - lengths
+    data = np.frombuffer(_PAD + b"".join(texts), np.uint8)
+    two = data[:-1].astype(np.uint16)
+    two <<= 8
+    two |= data[1:]
+    key = two[: len(data) - DEPTH].astype(np.int64)
+    for j in range(2, DEPTH + 1, 2):
+        key <<= 16
+        key |= two[j : len(data) - DEPTH + j]
+    for j in range(DEPTH):  # what stands before a text is no part of it
+        at = starts[lengths > j] + j
+        key[at] = key[at] & ((1 << 8 * (j + 1)) - 1) | int.from_bytes(_PAD[j:], "big") << 8 * (j + 1)
+    return key, starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of normal texts in turn, and how many each text has."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    last = data == 10
+    ends = np.flatnonzero(last | (data == 32))
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    sizes = ends - starts
+    place = np.arange(len(data))
+    place -= np.repeat(starts, sizes + 1)
+    mixed = _BYTE.take(data)
+    mixed *= _PLACE.take(place, mode="clip")
+    mixed[ends] = 0
+    out = np.add.reduceat(mixed, starts) if len(starts) else mixed
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(sizes > WIDE):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    full = sizes > 0
+    closed = np.cumsum(full)[last[ends]]
+    return out[full].view(np.int64), np.diff(closed, prepend=0)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted. np.unique hashes, which takes several times as long here."""
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))] if len(keys) else keys
+
+
+def parts_of(texts: list[bytes], most: int = 500_000) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
         if i > start and size + len(t) > most:
@@ -170,39 +208,41 @@ def part_model(grams: np.ndarray, counts: np.ndarray, top: dict) -> tuple[np.nda
 
 
 class Lookup:
-    """Open-addressing table from int64 keys to their values."""
+    """Open-addressing table from distinct int64 keys to float values, keys and values side by side in the slots; free slots hold key 0 and no value."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        self.keys, self.values = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, np.nan, values.dtype)
+        left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]  # of several for a slot the last stays
-            placed = self.slots[at] == left
-            left, at = left[~placed], (at[~placed] + 1) & (len(self.slots) - 1)
+            free = np.isnan(self.values[at])
+            self.keys[at[free]] = keys[left[free]]  # of several for a slot the last stays
+            self.values[at[free]] = values[left[free]]
+            off = (self.keys[at] != keys[left]) | np.isnan(self.values[at])
+            left, at = left[off], (at[off] + 1) & (len(self.keys) - 1)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        out = np.full(len(keys), missing, np.float64)
-        if not len(self.keys):
-            return out
-        left, at = None, self._home(keys)
-        want = keys
-        while True:
-            slot = self.slots[at]
-            used = slot >= 0
-            hit = used & (self.keys[slot] == want)
-            index = np.flatnonzero(hit) if left is None else left[hit]
-            out[index] = self.values[slot[hit]]
-            go = used & ~hit
-            if not go.any():
-                return out
-            left = np.flatnonzero(go) if left is None else left[go]
-            at, want = (at[go] + 1) & (len(self.slots) - 1), want[go]
+        home = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        home >>= np.uint64(64 - self.bits)
+        return home.view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Not a number where a key is missing."""
+        at = self._home(keys)
+        out = self.values.take(at)
+        left = np.flatnonzero(self.keys.take(at) != keys)
+        taken = ~np.isnan(out[left])
+        out[left] = np.nan
+        left = left[taken]
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            value = self.values[at]
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = value[hit]
+            go = ~hit & ~np.isnan(value)
+            left, at = left[go], at[go]
+        return out
 
 
 class Model:
@@ -214,8 +254,7 @@ class Model:
         self.nodes, self.logits = nodes[order], logits[order]
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """keys: distinct strings."""
-        out = self.known.get(keys, np.nan)
+        out = self.known.get(keys).astype(np.float64)
         new = np.flatnonzero(np.isnan(out))
         if len(new):
             out[new] = self._unknown(keys[new])
@@ -244,71 +283,66 @@ class Model:
         return total
 
 
-def number_tokens(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """The distinct tokens numbered, the number of each token in turn, and how many each text has."""
-    number: dict[bytes, int] = {}
-    give = number.setdefault
-    tokens: list[int] = []
-    lengths = []
-    for t in texts:
-        words = t.split()
-        tokens += [give(w, len(number)) for w in words]
-        tokens.append(give(END, len(number)))
-        lengths.append(len(words) + 1)
-    return number, np.array(tokens, np.int64), np.array(lengths, np.int64)
+def word_owner(hashes: np.ndarray, spread: int) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(spread)).astype(np.int64)
+
+
+_COUNTS = "kind int, part long, keys binary, counts binary"
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words)).view(np.int64)
+def _binaries(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The values between each two places of cut, packed."""
+    offsets = (cut * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def word_owner(hashes: np.ndarray, spread: int) -> np.ndarray:
-    return (hashes.view(np.uint64) % np.uint64(spread)).astype(np.int64)
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of all rows of a packed column, end to end."""
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), kind)
 
 
-_COUNTS = "kind int, part long, keys binary, counts binary"
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of rows with equal values starts and ends."""
+    n = len(columns[0])
+    cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if n else []
+    return list(zip([0, *cut], [*cut, n])) if n else []
 
 
 def _rows(kind: int, part: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     """A row for each part met: (kind, part) and its values of the columns, packed."""
     order = np.argsort(part, kind="stable")
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(part)]])
-    own = [order[s:e] for s, e in zip(cut[:-1], cut[1:]) if e > s]
-    packed = [pa.array([c[at].tobytes() for at in own], pa.binary()) for c in columns.values()]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array([int(part[at[0]]) for at in own], pa.int64()), *packed], ["kind", "part", *columns])
+    part = part[order]
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    cut = np.append(first, len(part))
+    packed = [_binaries(c[order], cut) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(part[first]), *packed], ["kind", "part", *columns])
+
+
+def _pooled(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
 
 
 def _count(train: DataFrame, spread: int) -> DataFrame:
     """(kind, part, keys, counts): packed counts of each task, of byte strings (kind 0) and of tokens (kind 1)."""
 
+    def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return _rows(kind, (owner, word_owner)[kind](keys, spread), keys=keys, counts=counts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        words: Counter[bytes] = Counter()
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for batch in pieces(batches):
             texts = [normal(t) for t in batch_bytes(batch.column("text"))]
-            words[END] += len(texts)
-            for t in texts:
-                words.update(t.split())
-            if len(words) > 400_000:
-                yield from _words(words)
-                words = Counter()
             for s, e in parts_of(texts):
-                held.append(tally(strings(texts[s:e])[0]))
-                if sum(len(k) for k, _ in held) > 3_000_000:
-                    held = [tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                    if len(held[0][0]) > 2_000_000:
-                        yield _rows(0, owner(held[0][0], spread), keys=held[0][0], counts=held[0][1])
-                        held = []
-        if held:
-            keys, counts = tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            yield _rows(0, owner(keys, spread), keys=keys, counts=counts)
-        yield from _words(words)
-
-    def _words(words: Counter) -> Iterator[pa.RecordBatch]:
-        if words:
-            hashes = word_hashes(list(words))
-            yield _rows(1, word_owner(hashes, spread), keys=hashes, counts=np.fromiter(words.values(), np.int64, len(words)))
+                tokens = np.concatenate([word_hashes(texts[s:e])[0], np.full(e - s, END)])
+                for kind, keys in enumerate((strings(texts[s:e])[0], tokens)):
+                    held[kind].append(tally(keys))
+                    if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+                        held[kind] = [_pooled(held[kind])]
+                        if len(held[kind][0][0]) > 2_000_000:
+                            yield rows(kind, *held[kind].pop())
+        for kind in (0, 1):
+            if held[kind]:
+                yield rows(kind, *_pooled(held[kind]))
 
     return train.select("text").mapInArrow(run, _COUNTS)
 
@@ -317,21 +351,22 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, kind): one row for each."""
 
     def close(now, held):
-        keys, counts = tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        keys, counts = _pooled(held)
         return pa.RecordBatch.from_arrays([pa.array([now[1]], pa.int32()), pa.array([now[0]], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["kind", "part", "keys", "counts", "n_keys", "total"])
 
-    now, held, size = None, [], 0
+    now, held, size, most = None, [], 0, 4_000_000
     for batch in batches:
         for kind, part, k, c in zip(*(batch.column(n).to_pylist() for n in ("kind", "part", "keys", "counts"))):
             if (part, kind) != now and held:
                 yield close(now, held)
-                held, size = [], 0
+                held, size, most = [], 0, 4_000_000
             now = (part, kind)
             held.append((np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)))
             size += len(held[-1][0])
-            if size > 4_000_000:
-                held = [tally(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))]
-                size = len(held[0][0]) // 2
+            if size > most:  # after a merge, not before as much again has come
+                held = [_pooled(held)]
+                size = len(held[0][0])
+                most = max(most, 2 * size)
     if held:
         yield close(now, held)
 
@@ -376,54 +411,87 @@ def fit(train: DataFrame) -> tuple[DataFrame, dict, int, int, int]:
     return model, top, spread, totals[0], totals[1]
 
 
+def _numbered(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Slices of a partition and the chunk of each row: the rows in order, cut into chunks of about so many bytes of text."""
+    number = size = 0
+    for batch in pieces(batches):
+        out = []
+        for task, n in zip(batch.column("task").to_pylist(), batch.column("n").to_pylist()):
+            if size and size + n > chunk_bytes:
+                number, size = number + 1, 0
+            size += n
+            out.append(task << 32 | number)
+        yield np.array(out, np.int64), batch
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(F.spark_partition_id().alias("task"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "doc_id", "text")
+
+
 def _chunked(docs: DataFrame, kind: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, doc_id, text): each partition's rows in order, cut into chunks of about so many bytes of text."""
+    """(chunk, doc_id, text) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = size = 0
-        for batch in pieces(batches):
-            out = []
-            for task, n in zip(batch.column("task").to_pylist(), batch.column("n").to_pylist()):
-                if size and size + n > chunk_bytes:
-                    number, size = number + 1, 0
-                size += n
-                out.append(task << 32 | number)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), batch.column("doc_id"), batch.column("text")], ["chunk", "doc_id", "text"])
+        for chunks, batch in _numbered(batches, chunk_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array(chunks), batch.column("doc_id"), batch.column("text")], ["chunk", "doc_id", "text"])
 
-    rows = docs.select(F.spark_partition_id().alias("task"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "doc_id", "text")
-    return rows.mapInArrow(run, f"chunk long, doc_id {kind}, text string")
+    return _sized(docs).mapInArrow(run, f"chunk long, doc_id {kind}, text string")
 
 
-def _asked(chunked: DataFrame, spread: int) -> DataFrame:
+def _asked(docs: DataFrame, spread: int, chunk_bytes: int) -> DataFrame:
     """(kind, part, chunk, keys): the distinct strings (kind 0) and token hashes (kind 1) of a chunk, packed, by the part that owns them."""
 
-    def ask(chunk: int, held: list[np.ndarray], words: set[bytes]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes(list(words))
-        keys = np.unique(np.concatenate(held))
-        for rows in (_rows(0, owner(keys, spread), keys=keys), _rows(1, word_owner(hashes, spread), keys=hashes)):
-            yield rows.append_column("chunk", pa.array([chunk] * rows.num_rows, pa.int64())).select(["kind", "part", "chunk", "keys"])
+    def ask(chunk: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for kind, own in enumerate((owner, word_owner)):
+            keys = distinct(np.concatenate(held[kind]))
+            rows = _rows(kind, own(keys, spread), keys=keys)
+            yield rows.append_column("chunk", pa.array(np.full(rows.num_rows, chunk))).select(["kind", "part", "chunk", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, words = None, [], set()
-        for batch in pieces(batches):
-            chunks = batch.column("chunk").to_numpy()
+        now, held = None, [[], []]
+        for chunks, batch in _numbered(batches, chunk_bytes):
             texts = [normal(t) for t in batch_bytes(batch.column("text"))]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
-            for a, b in zip(cut[:-1], cut[1:]):
-                if b > a and int(chunks[a]) != now:
-                    if held:
-                        yield from ask(now, held, words)
-                    now, held, words = int(chunks[a]), [], {END}
+            for a, b in _runs(chunks):
+                if int(chunks[a]) != now:
+                    if now is not None:
+                        yield from ask(now, held)
+                    now, held = int(chunks[a]), [[], [np.array([END])]]
                 for s, e in parts_of(texts[a:b]):
-                    held.append(np.unique(strings(texts[a + s : a + e])[0]))
-                    for t in texts[a + s : a + e]:
-                        words.update(t.split())
-                if len(held) > 4:
-                    held = [np.unique(np.concatenate(held))]
-        if held:
-            yield from ask(now, held, words)
-
-    return chunked.select("chunk", "text").mapInArrow(run, "kind int, part long, chunk long, keys binary")
+                    for kind, keys in enumerate((strings(texts[a + s : a + e])[0], word_hashes(texts[a + s : a + e])[0])):
+                        held[kind].append(distinct(keys))
+                        if sum(map(len, held[kind][1:])) > max(1_000_000, len(held[kind][0])):
+                            held[kind] = [distinct(np.concatenate(held[kind]))]
+        if now is not None:
+            yield from ask(now, held)
+
+    return _sized(docs).select("task", "n", "text").mapInArrow(run, "kind int, part long, chunk long, keys binary")
+
+
+def _answers(batches: Iterator[pa.RecordBatch], head: dict) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (kind, part), each part's model before its questions: the questions of all chunks in a slice are answered at once."""
+    now, machine = None, None
+    for batch in pieces(batches):
+        kinds, parts, chunks = (batch.column(c).to_numpy() for c in ("kind", "part", "chunk"))
+        out = []
+        for s, e in _runs(kinds, parts):
+            if (kinds[s], parts[s]) != now:
+                now = kinds[s], parts[s]
+                known = batch.slice(s, int(chunks[s] < 0))
+                fields = lambda *types: [_unpacked(known.column(c), t) for c, t in zip("abcd", types)]  # noqa: B023,E731
+                if kinds[s] == 0:
+                    grams, logs, nodes, logits = fields(np.int64, np.float32, np.int64, np.float32)
+                    machine = Model(grams, logs, np.concatenate([head["nodes"], nodes]), np.concatenate([head["logits"], logits]))
+                else:
+                    hashes, counts = fields(np.int64, np.int64)
+                    machine = Lookup(hashes, counts.astype(np.float64))
+            s += int(chunks[s] < 0)
+            if s < e:
+                column = batch.column("a").slice(s, e - s)
+                keys = _unpacked(column, np.int64)
+                values = machine.log10(keys).astype(np.float32) if kinds[s] == 0 else np.nan_to_num(machine.get(keys)).astype(np.int64)
+                cut = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64) // 8])
+                out.append(pa.RecordBatch.from_arrays([batch.column("chunk").slice(s, e - s), batch.column("kind").slice(s, e - s), column, _binaries(values, cut)], ["chunk", "kind", "keys", "values"]))
+        yield from out
 
 
 def _answered(model: DataFrame, asked: DataFrame, top: dict) -> DataFrame:
@@ -434,29 +502,8 @@ def _answered(model: DataFrame, asked: DataFrame, top: dict) -> DataFrame:
     both = model.select("kind", "part", F.lit(-1).cast("long").alias("chunk"), "a", "b", "c", "d").unionByName(questions)
     shared = spark.sparkContext.broadcast({n: top[n] for n in ("nodes", "logits")})  # at most 257 * 255 nodes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, now, machine = shared.value, None, None
-        for batch in pieces(batches, 64):
-            kinds, parts, chunks = (batch.column(c).to_pylist() for c in ("kind", "part", "chunk"))
-            out = []
-            for i, (kind, part, chunk) in enumerate(zip(kinds, parts, chunks)):
-                fields = lambda *types: [np.frombuffer(batch.column(c)[i].as_buffer() or b"", t) for c, t in zip("abcd", types)]  # noqa: B023,E731
-                if (kind, part) != now:
-                    now = kind, part
-                    grams, logs, nodes, logits = fields(np.int64, np.float32, np.int64, np.float32) if chunk < 0 and kind == 0 else [np.zeros(0, t) for t in (np.int64, np.float32) * 2]
-                    if kind == 0:
-                        machine = Model(grams, logs, np.concatenate([head["nodes"], nodes]), np.concatenate([head["logits"], logits]))
-                    else:
-                        machine = Lookup(*(fields(np.int64, np.int64) if chunk < 0 else [np.zeros(0, np.int64)] * 2))
-                if chunk >= 0:
-                    (keys,) = fields(np.int64)
-                    values = machine.log10(keys).astype(np.float32) if kind == 0 else machine.get(keys, 0).astype(np.int64)
-                    out.append((chunk, kind, keys.tobytes(), values.tobytes()))
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], ["chunk", "kind", "keys", "values"])
-
     dealt = both.repartition(partitions(spark), "kind", "part").sortWithinPartitions("kind", "part", "chunk")
-    return dealt.mapInArrow(run, "chunk long, kind int, keys binary, values binary")
+    return dealt.mapInArrow(lambda batches: _answers(batches, shared.value), "chunk long, kind int, keys binary, values binary")
 
 
 def score_documents(docs: DataFrame, folds: int = 10, chunk_bytes: int = 16_000_000) -> DataFrame:
@@ -466,57 +513,50 @@ def score_documents(docs: DataFrame, folds: int = 10, chunk_bytes: int = 16_000_
     bound_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    model, top, spread, tokens, distinct = fit(docs.where(id_fold("doc_id", folds) != 0))
+    model, top, spread, tokens, known_tokens = fit(docs.where(id_fold("doc_id", folds) != 0))
     chunked = _chunked(docs, id_type, chunk_bytes)
-    answers = _answered(model, _asked(chunked, spread), top)
+    answers = _answered(model, _asked(docs, spread, chunk_bytes), top)
     rows = chunked.select("chunk", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), "doc_id", "text")
     both = answers.select("*", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("text")).unionByName(rows)
-    base = np.log10(tokens + 0.1 * (distinct + 1))
+    base = np.log10(tokens + 0.1 * (known_tokens + 1))
 
     def found(table: Lookup, keys: np.ndarray) -> np.ndarray:
-        values = table.get(keys, np.nan)
+        values = table.get(keys)
         if np.isnan(values).any():
             raise ValueError("docs gave other rows when it was read again; score a stored table")
         return values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, answers, tables = None, [[], []], None
-        for batch in pieces(batches, 64):
-            kinds, chunks = (batch.column(c).to_pylist() for c in ("kind", "chunk"))
-            start = 0
-            while start < len(kinds):
+        for batch in pieces(batches, 256):
+            kinds, chunks = (batch.column(c).to_numpy() for c in ("kind", "chunk"))
+            for start, end in _runs(kinds, chunks):
                 if chunks[start] != now:
                     now, answers, tables = chunks[start], [[], []], None
-                kind = kinds[start]
+                kind, own = kinds[start], batch.slice(start, end - start)
                 if kind < 2:
-                    answers[kind].append(tuple(batch.column(c)[start].as_py() for c in ("keys", "values")))
-                    start += 1
+                    answers[kind].append([_unpacked(own.column(c), t) for c, t in (("keys", np.int64), ("values", (np.float32, np.int64)[kind]))])
                     continue
                 if tables is None:
                     tables = []
-                    for t in (np.float32, np.int64):
-                        own = answers.pop(0)
-                        tables.append(Lookup(np.concatenate([np.frombuffer(k, np.int64) for k, _ in own]), np.concatenate([np.frombuffer(v, t) for _, v in own])))
-                        del own
+                    for t in (np.float32, np.float64):
+                        mine = answers.pop(0)
+                        tables.append(Lookup(np.concatenate([k for k, _ in mine] or [np.zeros(0, np.int64)]), np.concatenate([v for _, v in mine] or [np.zeros(0)]).astype(t)))
+                        del mine
                     answers = [[], []]
-                end = start
-                while end < len(kinds) and chunks[end] == now:
-                    end += 1
-                own = batch.slice(start, end - start)
                 texts = [normal(t) for t in batch_bytes(own.column("text"))]
                 n = len(texts)
+                end_count = found(tables[1], np.array([END]))[0]
                 counted, known, plain, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
                 for s, e in parts_of(texts):
                     keys, starts = strings(texts[s:e])
-                    score[s:e] = np.add.reduceat(found(tables[0], keys), starts)
-                    number, ids, lengths = number_tokens(texts[s:e])
-                    counts = found(tables[1], word_hashes(list(number)))
-                    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                    counted[s:e] = lengths
-                    known[s:e] = np.add.reduceat((counts > 0).astype(np.int64)[ids], starts)
-                    plain[s:e] = np.add.reduceat(np.log10(counts + 0.1)[ids], starts) - lengths * base
+                    score[s:e] = np.add.reduceat(found(tables[0], keys), starts, dtype=np.float64)
+                    hashes, lengths = word_hashes(texts[s:e])
+                    counts, row = found(tables[1], hashes), np.repeat(np.arange(e - s), lengths)
+                    counted[s:e] = lengths + 1
+                    known[s:e] = np.bincount(row, counts > 0, e - s) + (end_count > 0)
+                    plain[s:e] = np.bincount(row, np.log10(counts + 0.1), e - s) + np.log10(end_count + 0.1) - counted[s:e] * base
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(counted), pa.array(known), pa.array(plain), pa.array(score), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
-                start = end
 
     dealt = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind")
     out = dealt.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, n_bytes long")

@@ -410,6 +410,46 @@ def test_context_tree_scores(spark, docs, empty):
     assert [r[:5] for r in order(a)] == [r[:5] for r in order(small)] and np.allclose([r[5:] for r in order(a)], [r[5:] for r in order(small)])
 
 
+def test_context_tree_work_grows_with_the_input(monkeypatch):
+    """A part's counts are not sorted anew for each row that comes, and a part answers the questions of many chunks at once."""
+    plain, sorted_keys, asked = ctw.tally, [], []
+    monkeypatch.setattr(ctw, "tally", lambda keys, counts=None: sorted_keys.append(len(keys)) or plain(keys, counts))
+    each, n = 1_000_000, 16
+    rows = [(0, 3, np.arange(i, each * n, n).tobytes(), np.ones(each, np.int64).tobytes()) for i in range(n)]
+    batches = (pa.RecordBatch.from_pydict(dict(zip(("kind", "part", "keys", "counts"), ([v] for v in r)))) for r in rows)
+    (got,) = ctw._merged(batches)
+    assert got.column("n_keys").to_pylist() == [each * n] == got.column("total").to_pylist() and np.array_equal(np.frombuffer(got.column("keys")[0].as_py(), np.int64), np.arange(each * n))
+    assert sum(sorted_keys) <= 3 * each * n
+
+    log10 = ctw.Model.log10
+    monkeypatch.setattr(ctw.Model, "log10", lambda self, keys: asked.append(len(keys)) or log10(self, keys))
+    keys, logs = np.array([0, 5, 1 << 40]), np.array([-1, -2, -3], np.float32)
+    rows = [(0, 7, -1, keys.tobytes(), logs.tobytes(), b"", b"")] + [(0, 7, c, keys[c % 3 :].tobytes(), None, None, None) for c in range(400)]
+    rows += [(1, 7, -1, keys.tobytes(), np.array([4, 5, 6]).tobytes(), b"", b""), (1, 7, 9, np.array([5, 6, 0]).tobytes(), None, None, None), (1, 8, 9, keys.tobytes(), None, None, None)]
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcd")])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)], schema=schema)
+    out = [r for b in ctw._answers([batch], {"nodes": np.zeros(0, np.int64), "logits": np.zeros(0, np.float32)}) for r in b.to_pylist()]
+    assert len(asked) <= 2 and [(r["chunk"], r["kind"]) for r in out] == [(c, 0) for c in range(400)] + [(9, 1), (9, 1)]
+    assert all(r["keys"] == keys[r["chunk"] % 3 :].tobytes() and r["values"] == logs[r["chunk"] % 3 :].tobytes() for r in out[:400])
+    assert [np.frombuffer(r["values"], np.int64).tolist() for r in out[400:]] == [[5, 0, 4], [0, 0, 0]]
+
+
+def test_strings_and_words_by_definition():
+    texts = [ctw.normal(t) for t in (b"", b"a", b"b a", b"A\tab\n\nba  \0\0 \0\x1f", b"x" * 64, b"x" * 65 + b" " + b"x" * 66 + b" y" + b"x" * 64, b"\0" * 9, "Ünder déjà".encode(), b"")]
+    keys, starts = ctw.strings(texts)
+    padded = [b"\n" * ctw.DEPTH + t for t in texts]
+    assert keys.tolist() == [int.from_bytes(t[i : i + ctw.DEPTH + 1], "big") for t in padded for i in range(len(t) - ctw.DEPTH)] and starts.tolist() == list(itertools.accumulate([0] + [len(t) for t in texts[:-1]]))
+    hashes, lengths = ctw.word_hashes(texts)
+    split = [w for t in texts for w in t.split()]
+    assert lengths.tolist() == [len(t.split()) for t in texts] and len(hashes) == len(split)
+    assert len(set(zip(split, hashes.tolist()))) == len(set(split)) == len(set(hashes.tolist())) and int(ctw.END) not in hashes
+    alone = [int(ctw.word_hashes([w + b"\n"])[0][0]) for w in split]  # a word's hash does not depend on what stands beside it
+    assert alone == hashes.tolist()
+    table = ctw.Lookup(ctw.distinct(keys), np.arange(len(set(keys.tolist())), dtype=np.float64))
+    assert table.get(keys).tolist() == [sorted(set(keys.tolist())).index(k) for k in keys.tolist()] and np.isnan(table.get(np.array([1, 2, 3]))).all()
+    assert np.isnan(ctw.Lookup(np.array([7]), np.ones(1)).get(np.zeros(1, np.int64))).all()
+
+
 def test_base_score_by_hand(spark, docs):
     import zlib
     from collections import Counter
