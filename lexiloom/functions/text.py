@@ -6,7 +6,8 @@ import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space as Unicode's isspace, and tokens (a run of letters, digits, underscores, or one other visible character).
 WS = r"\x09-\x0d\x1c-\x20\x{85}\p{Z}"
@@ -42,6 +43,23 @@ def tsv_escape(text: Column) -> Column:
     return text
 
 
+def bound_batches(spark: SparkSession | None, most: int = 8 << 20) -> None:
+    """Let no Arrow batch that goes to Python exceed `most` bytes by more than a row, where the session allows more. The setting stays for the
+    session: it is read when the result is computed."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None:
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def sliced(*columns: pa.Array, rows: int = 64):
+    """Rows of Arrow columns as tuples of Python values (lists as numpy arrays), so many rows at a time: as Python strings, the tokens of a batch
+    take many times its bytes."""
+    for start in range(0, len(columns[0]), rows):
+        yield from zip(*(c.slice(start, rows).to_numpy(zero_copy_only=False) for c in columns))
+
+
 def edit_distance(a, b) -> int:
     """Levenshtein distance of two sequences: equal ends are left out, then one column of the table at a time as the bits of two integers."""
     start, end_a, end_b = 0, len(a), len(b)
@@ -67,16 +85,21 @@ def edit_distance(a, b) -> int:
     return distance
 
 
-def _distances(a: pd.Series, b: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    rows = [(0, len(x), 0, len(p)) if x == y else (edit_distance(x, y), max(len(x), len(y)), edit_distance(p.tolist(), q.tolist()), max(len(p), len(q))) for x, y, p, q in zip(a, b, left, right)]
-    return pd.DataFrame(rows, columns=["char_distance", "char_length", "word_distance", "word_length"])
+def _struct(rows: list[tuple], names: list[str], kind: pa.DataType) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array((r[i] for r in rows), kind, size=len(rows)) for i in range(len(names))], names)
+
+
+def _distances(a: pa.Array, b: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+    rows = [(0, len(x), 0, len(p)) if x == y else (edit_distance(x, y), max(len(x), len(y)), edit_distance(p.tolist(), q.tolist()), max(len(p), len(q))) for x, y, p, q in sliced(a, b, left, right)]
+    return _struct(rows, ["char_distance", "char_length", "word_distance", "word_length"], pa.int32())
 
 
 def with_distances(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Add identical and, for characters and words, distance, longer length and their quotient (0 where both are empty). Both texts are not null.
 
-    Lengths and distances come from one Arrow function, called once for each row; rows are dealt anew before, since a pair costs far more than it weighs."""
-    made = F.pandas_udf(_distances, "char_distance int, char_length int, word_distance int, word_length int")(F.col(a), F.col(b), tokens(F.col(a)), tokens(F.col(b)))
+    Lengths and distances come from one Arrow function, called once for each row."""
+    bound_batches(pairs.sparkSession)
+    made = F.arrow_udf(_distances, "char_distance int, char_length int, word_distance int, word_length int")(F.col(a), F.col(b), tokens(F.col(a)), tokens(F.col(b)))
     rows = pairs.withColumn("_distances", made).select(*pairs.columns, (F.col(a) == F.col(b)).alias("identical"), "_distances.*")
     part = lambda u: F.when(F.col(f"{u}_length") > 0, F.col(f"{u}_distance") / F.col(f"{u}_length")).otherwise(F.lit(0.0)).alias(f"{u}_normalized")
     return rows.select("*", part("char"), part("word"))

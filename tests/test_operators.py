@@ -2,8 +2,10 @@ import gzip
 import json
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,32 @@ def test_distances(spark):
     assert got[2].word_distance == 2 and got[3].char_distance == 1 and got[4].word_normalized == 0 and (got[5].char_distance, got[5].identical, got[5].word_length) == (0, True, 2)
 
 
+def peak_mb(call):
+    """Python's peak memory in a call."""
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_distances_hold_few_rows_at_a_time(spark):
+    """What Python makes of a batch is made of a slice of it (all of these rows: over 40 MB), and batches are bounded in bytes."""
+    n, key = 4096, "spark.sql.execution.arrow.maxBytesPerBatch"
+    words = [[f"w{i}_{j}" for j in range(100)] for i in range(n)]
+    text, cut = pa.array([" ".join(x) for x in words]), pa.array(words)
+    assert peak_mb(lambda: X._distances(text, text, cut, cut)) < 5
+    got = X._distances(text, pa.array(["x" + t[1:] for t in text.to_pylist()]), cut, cut).to_pylist()
+    assert got == [{"char_distance": 1, "char_length": len(" ".join(x)), "word_distance": 0, "word_length": 100} for x in words]
+
+    spark.conf.unset(key)
+    df = spark.range(12_000).select(F.repeat(F.lit("abcdefghi "), 200).alias("a"), F.lit("b").alias("b")).coalesce(1)
+    X.with_distances(df)
+    rows = F.arrow_udf(lambda a: pa.array([len(a)] * len(a), pa.int32()), "int")
+    assert df.select(rows("a").alias("n")).agg(F.max("n")).first()[0] <= (8 << 20) / 2000 + 1
+
+
 def test_edit_distance_equals_recurrence():
     rand = random.Random(2)
     for _ in range(3000):
