@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -125,20 +124,21 @@ def blocks(a: list, b: list) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
 
 
-def _aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+def _aligned(a: pa.Array, b: pa.Array) -> pa.Array:
     rows = []
-    for x, y in zip(a, b):
+    for x, y in sliced(a, b):
         equal = changed = at_x = at_y = 0
         for i, j, n in blocks(x.tolist(), y.tolist()) if x is not None and y is not None else ():
             changed += max(i - at_x, j - at_y)  # the gap before this stretch
             equal, at_x, at_y = equal + n, i + n, j + n
         rows.append((equal, changed))
-    return pd.DataFrame(rows, columns=["equal", "changed"])
+    return _struct(rows, ["equal", "changed"], pa.int64())
 
 
 def alignment(a: Column, b: Column) -> Column:
     """Of two token lists: struct of equal, the tokens in equal stretches, and changed, the sum over the gaps between them of the longer side."""
-    return F.pandas_udf(_aligned, "equal long, changed long")(a, b)
+    bound_batches(SparkSession.getActiveSession())
+    return F.arrow_udf(_aligned, "equal long, changed long")(a, b)
 
 
 def edit_fraction(a: Column, b: Column) -> Column:

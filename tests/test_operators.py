@@ -125,6 +125,19 @@ def test_distances_hold_few_rows_at_a_time(spark):
     assert df.select(rows("a").alias("n")).agg(F.max("n")).first()[0] <= (8 << 20) / 2000 + 1
 
 
+def test_alignment_holds_few_rows_at_a_time(spark):
+    """As for the distances; lists of more than one slice, and null lists, keep their order."""
+    n, key = 4096, "spark.sql.execution.arrow.maxBytesPerBatch"
+    words = pa.array([[f"w{i}_{j}" for j in range(100)] for i in range(n)])
+    assert peak_mb(lambda: X._aligned(words, pa.array([[]] * n, words.type))) < 5
+    rows = [None if i % 7 == 0 else [str(j) for j in range(i % 5)] for i in range(300)]
+    got = X._aligned(pa.array(rows), pa.array([["0", "x"]] * 300)).to_pylist()
+    assert [(r["equal"], r["changed"]) for r in got] == [(0, 0) if x is None else (0, 2) if not x else (1, max(len(x) - 1, 1)) for x in rows]
+    spark.conf.unset(key)
+    X.edit_fraction(F.col("a"), F.col("b"))
+    assert 0 < int(spark.conf.get(key).rstrip("b")) <= 8 << 20
+
+
 def test_edit_distance_equals_recurrence():
     rand = random.Random(2)
     for _ in range(3000):
