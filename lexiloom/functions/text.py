@@ -93,6 +93,18 @@ def _distances(a: pa.Array, b: pa.Array, left: pa.Array, right: pa.Array) -> pa.
     return _struct(rows, ["char_distance", "char_length", "word_distance", "word_length"], pa.int32())
 
 
+def _char_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    rows = [(0, len(x)) if x == y else (edit_distance(x, y), max(len(x), len(y))) for x, y in sliced(a, b)]
+    return _struct(rows, ["char_distance", "char_length"], pa.int32())
+
+
+def with_char_distances(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Add char_distance and char_length alone: tokens are neither cut nor sent. Both texts are not null."""
+    bound_batches(pairs.sparkSession)
+    made = F.arrow_udf(_char_distances, "char_distance int, char_length int")(F.col(a), F.col(b))
+    return pairs.withColumn("_distances", made).select(*pairs.columns, "_distances.*")
+
+
 def with_distances(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Add identical and, for characters and words, distance, longer length and their quotient (0 where both are empty). Both texts are not null.
 

@@ -11,7 +11,7 @@ from ..functions import metrics, text as X
 from ..operators import align as A, compare as C, evaluate as E, inspect as I, prepare as P, targets as T, training as R, validate as V
 from ..sources import records as S
 from ..streaming import generate as G
-from .triples import DISTANCE_SQL, SCORES_SQL, SQL, TOKENS, VARIANTS, WORDS_SQL, pair_distances, stand_in_scores, triples
+from .triples import DISTANCE_SQL, SCORES_SQL, SQL, TOKENS, VARIANTS, WORDS_SQL, char_distances, pair_distances, stand_in_scores, triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -206,7 +206,7 @@ def token_counts(spark, sf):
 
 @query(DISTANCE_SQL + " SELECT line, pair, char_distance::BIGINT AS distance, char_length::BIGINT AS longer FROM distances")
 def char_distance(spark, sf):
-    return pair_distances(triples(spark, sf)).select("line", "pair", F.col("char_distance").cast("long").alias("distance"), F.col("char_length").cast("long").alias("longer"))
+    return char_distances(triples(spark, sf)).select("line", "pair", F.col("char_distance").cast("long").alias("distance"), F.col("char_length").cast("long").alias("longer"))
 
 
 @query(WORDS_SQL + " SELECT line, pair, word_distance AS distance, word_length::BIGINT AS longer FROM edits")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import with_distances
+from ..functions.text import with_char_distances, with_distances
 from ..sources.records import number_lines
 
 VARIANTS = ("base", "human", "corrected")
@@ -35,9 +35,14 @@ def pair_rows(t: DataFrame) -> DataFrame:
     return t.select("line", F.explode(made).alias("p")).select("line", "p.*")
 
 
-def pair_distances(t: DataFrame) -> DataFrame:
+def pair_distances(t: DataFrame, measure=with_distances) -> DataFrame:
     """(line, pair, distances) where both texts are not blank."""
-    return with_distances(pair_rows(t).where("trim(a) <> '' and trim(b) <> ''")).drop("a", "b")
+    return measure(pair_rows(t).where("trim(a) <> '' and trim(b) <> ''")).drop("a", "b")
+
+
+def char_distances(t: DataFrame) -> DataFrame:
+    """pair_distances of characters alone."""
+    return pair_distances(t, with_char_distances)
 
 
 TOKENS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\x09-\x0d\x1c-\x20\x{{85}}\p{{Z}}]')"

@@ -138,6 +138,16 @@ def test_alignment_holds_few_rows_at_a_time(spark):
     assert 0 < int(spark.conf.get(key).rstrip("b")) <= 8 << 20
 
 
+def test_char_distances_cut_no_words(spark):
+    from lexiloom.plans.queries import QUERIES
+
+    out = QUERIES["char_distance"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.createDataFrame([(i, "ab " * (i % 9), "aé 😀" * (i % 7)) for i in range(300)], "line long, a string, b string")
+    want = {(r.line, r.char_distance, r.char_length) for r in X.with_distances(df).collect()}
+    assert {(r.line, r.char_distance, r.char_length) for r in X.with_char_distances(df).collect()} == want
+
+
 def test_edit_distance_equals_recurrence():
     rand = random.Random(2)
     for _ in range(3000):
